@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import chat, pii, quality, sharding
+from lathework.llm import chat, decontam, pii, quality, sharding
 from lathework.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "shard", "shard_depth", "shard_bytes", "shard_fits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_chat, op6_quality, op7_sharding)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_chat, op6_quality, op7_sharding, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
