@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import chat, decontam, pii, quality, sharding
+from lathework.llm import chat, decontam, minhash, pii, quality, sharding
 from lathework.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_chat, op6_quality, op7_sharding, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
