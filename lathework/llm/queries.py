@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import chat, decontam, minhash, pii, quality, sharding
-from lathework.llm.common import table
+import public_tokenizers
+
+from lathework.llm import chat, decontam, minhash, packing, pii, quality, sharding, store
+from lathework.llm.common import new_path, table
 
 
 SHARD_LIMIT = 1 << 20
+#: The vocabularies and end ids of packing and of the store.
+PACKED, PACKED_END = "byte_bpe_50k.json", 2
+STORED, STORED_END = "word_bpe_49k.json", 1
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED), PACKED_END, keep_ids=False)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +43,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "shard", "shard_depth", "shard_bytes", "shard_fits")
 
 
+def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "store")
+    store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(STORED), STORED_END)
+    return store.verify_store(spark, path)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
