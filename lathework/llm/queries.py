@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lathework.llm import chat, decontam, minhash, packing, pii, quality, sharding, store
+from lathework.llm import chat, decontam, lm, minhash, packing, pii, quality, sharding, store
 from lathework.llm.common import new_path, table
 
 
@@ -18,6 +19,11 @@ PACKED, PACKED_END = "byte_bpe_50k.json", 2
 STORED, STORED_END = "word_bpe_49k.json", 1
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED), PACKED_END, keep_ids=False)
 
@@ -53,6 +59,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op10_decontamination)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op10_decontamination)}
+
+_WORDS = r"""[w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w <> '']"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_lm": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+e AS MATERIALIZED (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+one AS MATERIALIZED (SELECT c, count(*) AS n FROM e GROUP BY c),
+two AS MATERIALIZED (SELECT b, c, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY b, c),
+three AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM e WHERE a IS NOT NULL GROUP BY a, b, c),
+n AS (SELECT greatest(count(*) - 1, 1) AS n FROM e),
+s AS (SELECT e.doc_id, coalesce(three.n, 1) - 1 AS c3, coalesce(two.n, 1) - 1 AS c2, one.n - 1 AS c1, coalesce(ab.n, 1) - 1 AS cab, coalesce(ob.n, 1) - 1 AS cb,
+        (e.b IS NOT NULL)::INT + (e.a IS NOT NULL)::INT AS steps
+      FROM e JOIN one ON one.c = e.c LEFT JOIN two ON two.b = e.b AND two.c = e.c LEFT JOIN three ON three.a = e.a AND three.b = e.b AND three.c = e.c
+      LEFT JOIN two ab ON ab.b = e.a AND ab.c = e.b LEFT JOIN one ob ON ob.c = e.b),
+t AS (SELECT doc_id, c3 > 0 AS is3, c3 <= 0 AND c2 > 0 AS is2,
+        CASE WHEN c3 > 0 THEN ln(c3 / cab) WHEN c2 > 0 THEN ln(c2 / cb) + (steps - 1) * ln(0.4::DOUBLE)
+             ELSE ln(CASE WHEN c1 > 0 THEN c1::DOUBLE ELSE 0.5::DOUBLE END) + steps * ln(0.4::DOUBLE) - ln(n) END AS v FROM s, n),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (is3) AS n3, count(*) FILTER (is2) AS n2, sum(v) AS v FROM t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(n3, 0)::BIGINT AS n_trigram, coalesce(n2, 0)::BIGINT AS n_bigram,
+       coalesce(n - n3 - n2, 0)::BIGINT AS n_unigram, round(coalesce(v, 0), 4) AS log_score
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+}
