@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lathework.llm import chat, decontam, lm, minhash, packing, pii, quality, sharding, store
+from lathework.llm import chat, decontam, lm, minhash, packing, pii, quality, sharding, store, suffix
 from lathework.llm.common import new_path, table
 
 
@@ -55,11 +55,15 @@ def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verify_store(spark, path)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op9_suffix, op10_decontamination)}
 
 _WORDS = r"""[w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w <> '']"""
 
