@@ -45,6 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, in order."""
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")

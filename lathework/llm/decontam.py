@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import let
+from lathework.llm.common import free_name, let, written
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -102,8 +102,6 @@ def _extended(length: int | None) -> tuple[Column, Column, Column]:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Hit ranges of words: (doc_id, text_hash, item_id, first, last), `last` exclusive."""
-    from lathework.llm.common import written
-
     hashed = lambda t: F.transform(words(F.col(t)), lambda w: F.xxhash64(w))
     items = written(benchmark.where(F.col("item_id").isNotNull()).select("item_id", hashed("text").alias("w")).where(F.size("w") > 0).distinct(), "benchmark")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), hashed(text).alias("w"))
@@ -150,8 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs."""
-    hits = find_hits(docs, benchmark, text).select(F.col("doc_id").alias("h_doc_id"), F.col("text_hash").alias("h_text_hash")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("h_doc_id")) & (F.xxhash64(text) == F.col("h_text_hash")), "left_anti")
+    hit_id, hit_hash = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
+    hits = find_hits(docs, benchmark, text).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text) == F.col(hit_hash)), "left_anti")
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import written
+from lathework.llm.common import free_name, written
 from lathework.llm.hashing import U64, chunks, mixed, shingle_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -263,8 +263,9 @@ def _residual_links(members: DataFrame, labels: DataFrame, texts: DataFrame) ->
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose document has the smallest doc_id of its component; rows without id stay."""
-    kept = near_components(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
+    mark = free_name(docs, "kept_id")
+    kept = near_components(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
+    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(mark), "left_semi")
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
 
 

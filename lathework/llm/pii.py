@@ -6,8 +6,8 @@ All of it is built of SQL functions. For one kind the matches are `regexp_extrac
 The patterns are possessive and anchored at the start of a run, which finds the same matches as the plain form
 (`[A-Za-z0-9._%+-]+@...`) in time linear in the text, however long a run of letters or digits is.
 
-Defined cases: null or empty text has no spans; other columns are carried along untouched (a name that clashes with an
-added column raises); repeated rows are each scanned alone; an empty table gives an empty table.
+Defined cases: null or empty text has no spans; other columns are carried along untouched, but for
+one of the name of the added column, which is replaced; repeated rows are each scanned alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import let
+from lathework.llm.common import free_name, let
 
 # The kinds in output order, and their patterns. The first four are the base.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -122,8 +122,6 @@ def _spans(kind: str, text: Column) -> Column:
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """`docs` with `into`: an array of (kind, start, end, score) by kind as in KINDS, then start; code points, end exclusive."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
     value = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumn(into, F.concat(*[_spans(k, value) for k in KINDS]))
 
@@ -155,6 +153,12 @@ def redact(docs: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
     return docs.withColumn(text, F.when(F.size(pii) > 0, let(stretches, shown)).otherwise(F.col(text))).drop(pii)
 
 
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with personal data in `text` replaced, and no other change."""
+    spans = free_name(docs, "pii")
+    return redact(find_pii(docs, text, spans), text, spans).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """One row per document: counts by base kind, a digest of the base spans, and all spans as text."""
     found = find_pii(docs.select("doc_id", "text"))

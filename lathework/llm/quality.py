@@ -5,8 +5,8 @@ sample) and selectivity (share it rejects) are measured; the rules then stand in
 of rejection per cost, so a document that fails an early rule never pays for a later one. The order changes the work, not
 the verdict: a document is kept when no rule rejects it.
 
-Defined cases: null text has no words and fails; empty text likewise; other columns are carried along (a clash with an
-added name raises); repeated rows get the same verdict; an empty table gives an empty table.
+Defined cases: null text has no words and fails; empty text likewise; other columns are carried along, but for one of the
+name of the added column, which is replaced; repeated rows get the same verdict; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -143,10 +143,17 @@ def cascade(rules: list[tuple[str, Column]]) -> Column:
 
 def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "rejected_by") -> DataFrame:
     """`docs` with `into`: the first rule in the cascade that rejects the document, null if it is kept."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
+    return docs.withColumn(into, _verdict(docs, rules, text))
+
+
+def _verdict(docs: DataFrame, rules: list[Rule] | None, text: str) -> Column:
     ordered = ordered_rules(docs, RULES if rules is None else rules, text)
-    return docs.withColumn(into, cascade([(r.name, r.on_text(_text(text))) for r in ordered]))
+    return cascade([(r.name, r.on_text(_text(text))) for r in ordered])
+
+
+def passing(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """The rows of `docs` that no rule rejects."""
+    return docs.where(_verdict(docs, rules, text).isNull())
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

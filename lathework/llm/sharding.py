@@ -7,7 +7,8 @@ the rows of the buckets still oversized, some bits deeper, until none is left or
 
 Defined cases: a null key hashes as the empty string; null text has no bytes; an empty table has an empty directory;
 rows with the same key share all bits, so a bucket of one key that exceeds the limit ends at the last bit and is marked
-`fits = false`, as is a single row over the limit; other columns are carried along (a clash with an added name raises).
+`fits = false`, as is a single row over the limit; other columns are carried along, but for those of
+the names of added columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lathework.llm.common import written
+
 BITS = 60
 #: Bits that one round of splitting looks ahead.
 STEP = 4
@@ -37,8 +40,6 @@ def directory(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
 
     Sums by prefix are small against the rows, and each round's sums come from the rows of oversized buckets alone.
     """
-    from lathework.llm.common import written
-
     spark = docs.sparkSession
     sized = docs.select(key_hash(F.col(key)).alias("h"), size.cast("bigint").alias("bytes"))
     total = sized.agg(F.sum("bytes")).first()[0] or 0
@@ -58,7 +59,7 @@ def directory(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
         child = levels.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi")
         root = levels.where((F.col("depth") == base) & F.lit(base == 0)).withColumn("parent", F.lit(0).cast("bigint"))
         reached = written(child.unionByName(root.select(*child.columns)), "shard-levels")
-        found.append(reached.where(F.col("fits") | F.lit(last)  & (F.col("depth") == at)).select("depth", "prefix", "bytes", "n_rows", "fits"))
+        found.append(reached.where(F.col("fits") | F.lit(last) & (F.col("depth") == at)).select("depth", "prefix", "bytes", "n_rows", "fits"))
         over = reached.where(~F.col("fits") & (F.col("depth") == at)).select("prefix")
         if last or over.isEmpty():
             break
@@ -78,8 +79,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     directory is joined by Spark's own choice of strategy and is never forced to be broadcast.
     """
     added = ("shard", "shard_depth", "shard_bytes", "shard_fits")
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    docs = docs.drop(*added)
     buckets = directory(docs, key, F.octet_length(F.coalesce(F.col(text), F.lit(""))), limit)
     depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
     if not depths:
