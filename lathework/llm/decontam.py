@@ -114,8 +114,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
         if marks.count() <= BROADCAST_ROWS:
             marks = F.broadcast(marks)
         else:
-            hit = theirs.select("doc_id", "text_hash", "fp").join(marks.select("fp"), "fp", "left_semi").select("doc_id", "text_hash").distinct()
-            theirs = _marks(rows.join(hit, ["doc_id", "text_hash"], "left_semi"), length)
+            hit = theirs.select("doc_id", "text_hash", "fp").join(marks.select("fp"), "fp", "left_semi").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+            theirs = _marks(rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left_semi"), length)
         first, last, holds = _extended(length)
         pairs = theirs.join(marks, "fp").where(holds).select("doc_id", "text_hash", "item_id", first.cast("int").alias("first"), last.cast("int").alias("last"))
         found = pairs if found is None else found.unionByName(pairs)
