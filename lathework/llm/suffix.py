@@ -63,22 +63,33 @@ def suffix_array(text: bytes) -> list[int]:
     pointer, taken, order = [-1] * n, bytearray(n), []
     now = len(members) - 1
     while now >= 0:
-        own = members[now] = [i for i in members[now] if group[i] == now]
-        hits: dict[int, int] = {}
-        own.sort()
-        for s in own:
+        own = members[now]
+        own = members[now] = [i for i in own if group[i] == now] if len(own) > 1 else own if group[own[0]] == now else []
+        if len(own) == 1:  # the most frequent case, in short
+            s = own[0]
             p = s - 1
             while p >= 0 and taken[p]:
                 p = pointer[p]
             pointer[s] = p
             taken[s] = 1
-            if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
-        moved: dict[tuple[int, int], list[int]] = {}
-        for p, k in hits.items():
-            moved.setdefault((-k, group[p]), []).append(p)
-        # The most pointed to is inserted first, right above the old group, and pushed up by those with fewer.
-        for (_, old), some in sorted(moved.items()) if len(moved) > 1 else moved.items():
+            moves = (((1, group[p]), [p]),) if p >= 0 else ()
+        else:
+            hits: dict[int, int] = {}
+            own.sort()
+            for s in own:
+                p = s - 1
+                while p >= 0 and taken[p]:
+                    p = pointer[p]
+                pointer[s] = p
+                taken[s] = 1
+                if p >= 0:
+                    hits[p] = hits.get(p, 0) + 1
+            moved: dict[tuple[int, int], list[int]] = {}
+            for p, k in hits.items():
+                moved.setdefault((-k, group[p]), []).append(p)
+            # The most pointed to is inserted first, right above the old group, and pushed up by those with fewer.
+            moves = sorted(moved.items())
+        for (_, old), some in moves:
             new = len(members)
             members.append(some)
             below.append(old)
@@ -108,7 +119,8 @@ def suffix_array(text: bytes) -> list[int]:
     return out
 
 
-_STRETCH, _STRING = U64(0xA24BAED4963EE407), U64(0x8CB92BA72F3D8DD7)
+_STRETCH, _STRING, _ANCHOR = U64(0xA24BAED4963EE407), U64(0x8CB92BA72F3D8DD7), U64(0x2545F4914F6CDD1D)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 _LAST = np.uint64((1 << 64) - 1)
 
 
@@ -141,12 +153,12 @@ class _Block:
         sums[0] = 0
         np.cumsum((data.astype(U64) + U64(1)) * powers[:n], out=sums[1:])
         grams = mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
-        least, where, width = grams, np.arange(len(grams), dtype=np.int32), 1
+        # The upper half of the hash, then the place: the least is the leftmost of equals.
+        least, width = grams & _UPPER, 1
+        least |= np.arange(len(grams), dtype=np.uint64)
         while width < REACH:
             step = min(width, REACH - width)
-            later = least[step:] < least[:-step]
-            where = np.where(later, where[step:], where[:-step])
-            least = np.where(later, least[step:], least[:-step])
+            least = np.minimum(least[step:], least[:-step])
             width += step
         marks = np.zeros(n + 1, np.int32)
         first, last = self.begin[a:b] - base, self.begin[a + 1 : b + 1] - base - LENGTH + 1
@@ -156,11 +168,12 @@ class _Block:
         starts = np.flatnonzero(np.cumsum(marks))
         if not len(starts):
             return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        chosen = where[starts]
+        chosen = (least[starts] & ~_UPPER).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1))))
         at, strings = starts[new], np.diff(np.append(new, len(starts)))
         whole = mixed((sums[at + strings + LENGTH - 1] - sums[at]) * inverse[at] ^ _STRETCH)
-        return grams[chosen[new]], whole, at + base, strings
+        # Anchors are small hashes; mixed anew they spread over all buckets.
+        return mixed(grams[chosen[new]] ^ _ANCHOR), whole, at + base, strings
 
     def repeated(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Occurrences (anchor, hash, place, strings, doc) that can repeat, sorted by anchor, hash and doc.
@@ -181,7 +194,7 @@ class _Block:
         place = np.concatenate((self.at[some], at))
         strings = np.concatenate((self.strings[some], np.ones(len(at), np.int64)))
         doc = np.concatenate((self.doc[some], np.repeat(self.doc[hot], many)))
-        order = np.lexsort((doc, whole, anchor))
+        order = np.lexsort((whole, anchor))  # stable: documents stay in ascending order
         return anchor[order], whole[order], place[order], strings[order], doc[order]
 
     def anchors(self) -> np.ndarray:
@@ -359,11 +372,16 @@ def _apply(keep: bool):
         many = np.diff(np.append(first, len(anchor)))
         # Where a document of the block itself has the stretch earlier, all of its strings repeat.
         bits = np.where(doc > np.repeat(doc[first], many), _LAST, np.repeat(bits, many))
-        marks = np.zeros(len(b.data) + 1, np.int32)
+        whole_bits = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
+        bits &= whole_bits
+        full, some = bits == whole_bits, np.flatnonzero((bits > 0) & (bits != whole_bits))
+        begins, ends = [place[full]], [place[full] + strings[full]]
         for j in range(REACH):
-            hit = place[(bits >> np.uint64(j) & np.uint64(1) > 0) & (strings > j)] + j
-            np.add.at(marks, hit, 1)
-            np.add.at(marks, hit + LENGTH, -1)
+            hit = place[some[bits[some] >> np.uint64(j) & np.uint64(1) > 0]] + j
+            begins.append(hit)
+            ends.append(hit + 1)
+        size = len(b.data) + 1
+        marks = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends) + (LENGTH - 1), minlength=size)
         gone = np.cumsum(marks)[:-1] > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
