@@ -48,9 +48,9 @@ def edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, firsts), len(hashes))
 
 
-def blocks_for(total: int | None) -> int:
+def blocks_for(total: int | None, size: int | None = None) -> int:
     """How many blocks so many bytes of text make."""
-    return max(1, -(-(total or 0) // BLOCK_BYTES))
+    return max(1, -(-(total or 0) // (size or BLOCK_BYTES)))
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:

@@ -8,8 +8,8 @@ U64 = np.uint64
 #: Odd multipliers of the hashes below.
 BYTE_FACTOR, WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
-#: Bytes of text hashed together: arrays of eight bytes each stay small.
-CHUNK = 1 << 20
+#: Bytes of text hashed together: arrays of eight bytes each stay in the cache.
+CHUNK = 1 << 17
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 

@@ -29,6 +29,8 @@ from lathework.llm.hashing import U64, chunks, mixed, word_hashes
 
 #: The factor of each step back, and the count of a word that occurs nowhere else.
 BACKOFF, UNSEEN = 0.4, 0.5
+#: Bytes of text in a block: the larger, the fewer n-grams are sent by several blocks.
+BLOCK_BYTES = 16 << 20
 _FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 
 
@@ -150,7 +152,7 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of `docs`: doc_id, n_words, how many words were scored at each order, and log_score (natural logarithm)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     words, total = docs.agg(F.sum(F.size(word_array(F.coalesce("text", F.lit(""))))), F.sum(F.octet_length("text"))).first()
-    blocks = blocks_for(total)
+    blocks = blocks_for(total, BLOCK_BYTES)
     dealt = in_blocks(docs, blocks)
     packets = dealt.groupBy("block").applyInArrow(_count(blocks), "bucket int, block int, n int, hashes binary, counts binary")
     answers = packets.groupBy("bucket").applyInArrow(_total, "block int, bucket int, n int, totals binary")

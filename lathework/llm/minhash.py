@@ -76,7 +76,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id and text to doc_id, n_shingles, the set's hashes and its band hashes."""
     for batch in batches:
         texts = _binary(batch.column(1))
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 1 << 20):
             sets = [np.unique(s) for s in shingle_hashes(texts[a:b], SHINGLE)]
             full = [i for i, s in enumerate(sets) if len(s)]
             n = [len(s) for s in sets]

@@ -42,6 +42,8 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1
 #: Documents from which on an anchor's strings go one by one.
 HOT = 2048
+#: Bytes whose hashes are computed together.
+PIECE = 1 << 17
 #: Characters of different stretches that one suffix array takes in, unless one anchor has more.
 ARRAY_BYTES = 1 << 15
 
@@ -136,7 +138,7 @@ class _Block:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         # Ids in unsigned order; null comes last.
         self.order = np.array([(1 << 64) - 1 if d is None else d + (1 << 63) for d in self.ids.to_pylist()], np.uint64)
-        found = [self._piece(a, b) for a, b in chunks(texts)]
+        found = [self._piece(a, b) for a, b in chunks(texts, PIECE)]
         self.anchor, self.stretch, self.at, self.strings = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
         self.row = np.searchsorted(self.begin, self.at, side="right") - 1
         self.doc = self.order[self.row] if len(self.row) else np.zeros(0, np.uint64)
@@ -180,8 +182,10 @@ class _Block:
 
         `codes` has a number for each distinct anchor: 0 no, 1 yes, 2 string by string.
         """
-        code = codes[np.searchsorted(self.anchors(), self.anchor)] if len(codes) else np.zeros(0, np.uint8)
-        some, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        order = np.argsort(self.anchor, kind="stable")
+        first = _new(self.anchor[order])
+        code = np.repeat(codes, np.diff(np.append(first, len(order))))
+        some, hot = order[code == 1], np.sort(order[code == 2])
         many = self.strings[hot]
         at = np.repeat(self.at[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         alone = np.zeros(len(at), U64)
@@ -197,11 +201,6 @@ class _Block:
         order = np.lexsort((whole, anchor))  # stable: documents stay in ascending order
         return anchor[order], whole[order], place[order], strings[order], doc[order]
 
-    def anchors(self) -> np.ndarray:
-        if not hasattr(self, "_anchors"):
-            self._anchors = np.unique(self.anchor)
-        return self._anchors
-
 
 def _new(*keys: np.ndarray) -> np.ndarray:
     """Where sorted rows differ from those before."""
