@@ -32,7 +32,7 @@ from lathework.llm.hashing import U64, chunks, mixed, shingle_hashes
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 #: Members of a group that one task compares with its leader, and the size of blocks compared with each other.
-SALT_ROWS, BLOCK, BLOCK_SHINGLES = 256, 128, 1 << 20
+SALT_ROWS, BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 20
 #: Shingles whose coordinates are computed together.
 PIECE = 1 << 17
 
@@ -176,6 +176,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus: never broadcast, however small it is now."""
+    return side.hint("merge")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of `edges` (a, b): equal labels in each component."""
     edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
@@ -188,7 +193,7 @@ def connected(edges: DataFrame) -> DataFrame:
         joins = written(joins, "joins")
         labels = joins if labels is None else written(_follow(labels, joins), "labels")
         to_a, to_b = (joins.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        edges = edges.join(to_a, "a").join(to_b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        edges = edges.join(_shuffled(to_a), "a").join(_shuffled(to_b), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         edges = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         turn += 1
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -197,7 +202,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def _follow(labels: DataFrame, joins: DataFrame) -> DataFrame:
     """Labels after their nodes have joined others."""
     step = joins.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return labels.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return labels.join(_shuffled(step), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
 
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -209,18 +214,18 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     classes = written(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands")), "classes")
     bands = classes.select("rep", "size", F.explode("bands").alias("band"))
     groups = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where(F.col("leader") < F.col("last"))
-    members = written(bands.join(groups.select("band", "leader"), "band"), "band-members")
+    members = written(bands.join(_shuffled(groups.select("band", "leader")), "band"), "band-members")
     pairs = written(members.where(F.col("rep") != F.col("leader")).select("leader", "rep").distinct(), "pairs")
     wanted = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select("rep")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = written(docs.join(_shuffled(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     links = written(_leader_links(pairs, texts), "links")
     labels = connected(links)
     more = _residual_links(members, labels, texts)
     if more is not None:
         labels = connected(links.unionByName(more))
-    named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(labels, "label").select(F.col("node").alias("rep"), "component_id")
-    by_set = classes.select("s1", "s2", "rep").join(named, "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
-    joined = sketch.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
+    named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(_shuffled(labels), "label").select(F.col("node").alias("rep"), "component_id")
+    by_set = classes.select("s1", "s2", "rep").join(_shuffled(named), "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+    joined = sketch.select("doc_id", "n_shingles", "s1", "s2").join(_shuffled(by_set), ["s1", "s2"], "left")
     # A null doc_id takes part in no class.
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
@@ -229,23 +234,23 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def _leader_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that are similar on full sets. Members are dealt by (leader, salt), so no leader's group meets in one task."""
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("id"))
-    members = salted.join(texts, "id").select("leader", "salt", F.lit(True).alias("member"), "id", "text")
-    own = salts.join(texts, F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), "id", "text")
+    salted = pairs.join(_shuffled(salts), "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("id"))
+    members = salted.join(_shuffled(texts), "id").select("leader", "salt", F.lit(True).alias("member"), "id", "text")
+    own = salts.join(_shuffled(texts), F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), "id", "text")
     dealt = members.unionByName(own).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "id")
     return dealt.mapInArrow(_against_leader, "a bigint, b bigint")
 
 
 def _residual_links(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between components among members of a group that have not been compared: those besides its leader."""
-    placed = members.where(F.col("rep") != F.col("leader")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = members.where(F.col("rep") != F.col("leader")).join(_shuffled(labels.withColumnRenamed("node", "rep")), "rep", "left")
     placed = placed.select("band", "rep", "size", F.coalesce("label", "rep").alias("component"))
     # Groups with the same members need one comparison.
     many = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
     same = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"x{k}") for k in (0, 1)]]
     mixed_groups = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.ceil(many).cast("int").alias("blocks"), *same)
     once = mixed_groups.where(F.col("c1") != F.col("c2")).groupBy("n", "x0", "x1").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
-    rows = written(placed.join(once.select("band", "blocks"), "band"), "residual")
+    rows = written(placed.join(_shuffled(once.select("band", "blocks")), "band"), "residual")
     if rows.isEmpty():
         return None
     own = F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int")
@@ -255,7 +260,7 @@ def _residual_links(members: DataFrame, labels: DataFrame, texts: DataFrame) ->
     low, high = F.least("own", "other"), F.greatest("own", "other")
     task = F.concat_ws(":", F.col("band").cast("string"), low.cast("string"), high.cast("string"))
     side = F.when(low == high, 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select(task.alias("task"), side.alias("side"), "component", F.col("rep").alias("id")).join(texts, "id")
+    dealt = dealt.select(task.alias("task"), side.alias("side"), "component", F.col("rep").alias("id")).join(_shuffled(texts), "id")
     dealt = dealt.select("task", "side", "component", "id", "text").repartition("task").sortWithinPartitions("task")
     found = written(dealt.mapInArrow(_blocks, "a bigint, b bigint"), "residual-links")
     return None if found.isEmpty() else found
@@ -265,7 +270,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """The rows of `docs` whose document has the smallest doc_id of its component; rows without id stay."""
     mark = free_name(docs, "kept_id")
     kept = near_components(docs, text, doc_id).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(mark), "left_semi")
+    named = docs.where(F.col(doc_id).isNotNull()).join(_shuffled(kept), F.col(doc_id) == F.col(mark), "left_semi")
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
