@@ -88,3 +88,10 @@ def cache_expiry(at: Column, key: Column, deadline: Column, most_days: int = 60)
     """When a verdict leaves the cache: with its deadline if that is known, at most `most_days` on, else spread by key."""
     day = at.cast("date")
     return F.when(deadline.isNotNull(), F.least(deadline.cast("date"), F.date_add(day, most_days))).otherwise(expiry(at, key))
+
+
+def english_time(text: Column) -> Column:
+    """An instant as feeds write it."""
+    plain = F.regexp_replace(F.trim(text), r"^\w{3},\s*|\s*\b(?:GMT|UTC|Z)$", "")
+    zoned = [F.try_to_timestamp(plain, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")]
+    return F.coalesce(*zoned, F.trim(text).try_cast("timestamp"))
