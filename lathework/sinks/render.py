@@ -31,7 +31,7 @@ def source_counts(rows: DataFrame, source: str, priority: DataFrame, names: int
     `priority` has (source, priority, name). The names shown are the feature; all sources are counted.
     """
     n = rows.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")).join(priority, "source", "left")
-    ranked = n.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.coalesce("priority", F.lit(1 << 30)).alias("p"), F.coalesce("name", "source").alias("name")))).alias("all"))
+    ranked = n.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.coalesce("priority", F.lit(1 << 30)).alias("p"), F.coalesce("name", F.col("source").cast("string")).alias("name")))).alias("all"))
     listed = F.array_join(F.transform(F.slice("all", 1, names), lambda x: x["name"]), ", ")
     return ranked.select(F.concat(listed, F.when(F.size("all") > names, F.concat(F.lit(" and "), (F.size("all") - names).cast("string"), F.lit(" more"))).otherwise("")).alias("text"))
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lathework import record_queries  # noqa: F401, it registers its queries
 from lathework.functions import text
 from lathework.operators import dedupe
 from lathework.queries import ORACLE_SQL, QUERIES, flagship, table
@@ -37,7 +38,7 @@ def test_sql(spark, tables, name):
 
 
 def test_all_others_are_known():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_titles", "page_texts"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_titles", "page_texts", "title_two_passes", "title_matches", "merged_copies", "packed_site_queries", "packed_messages", "page_links"}
 
 
 def test_flagship(spark):
