@@ -33,12 +33,17 @@ def escape_markup(text: Column) -> Column:
     return text
 
 
+#: Parameters of an address that only tell where a reader came from.
+TRACKING = r"(?i)^(utm_[a-z]+|ref|fbclid|gclid|cmpid|smid|taid|mod)="
+
+
 def canonical_url(url: Column) -> Column:
-    """Without scheme, www., closing slash and tracking parameters; other parameters stay in order."""
-    bare = F.regexp_replace(url, r"^[a-z]+://(www\.)?", "")
-    path = F.regexp_replace(F.regexp_extract(bare, r"^([^?#]*)", 1), r"/+$", "")
-    query = F.filter(F.split(F.regexp_extract(bare, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_|fbclid|gclid)"))
-    return F.when(F.size(query) > 0, F.concat(path, F.lit("?"), F.array_join(query, "&"))).otherwise(path)
+    """Without scheme, www., m., /amp, closing slash, fragment and tracking parameters; other parameters stay in order."""
+    bare = F.regexp_replace(F.trim(url), r"(?i)^[a-z]+://(www\.)?(m\.(?=[^/?#]*\.))?", "")
+    place = F.lower(F.regexp_extract(bare, r"^([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"/amp(?=/|$)", ""), r"/+$", "")
+    query = F.filter(F.split(F.regexp_extract(bare, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    return F.concat(place, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
 def host(url: Column) -> Column:

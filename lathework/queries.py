@@ -232,8 +232,9 @@ def history_ring(read):
     return ranking.quota(live.select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 30).select("user_id", "event_id")
 
 
-_URL = r"""regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://(www\.)?', ''), '^([^?#]*)', 1), '/+$', '')"""
-_PARAMETERS = r"""[p for p in string_split(regexp_extract(regexp_replace(url, '^[a-z]+://(www\.)?', ''), '\?([^#]*)', 1), '&') if p <> '' and not regexp_matches(p, '^(utm_|fbclid|gclid)')]"""
+_BARE = r"""regexp_replace(regexp_replace(url, '^[a-z]+://(www\.)?', ''), '^m\.([^/?#]*\.)', '\1')"""
+_URL = rf"""regexp_replace(regexp_replace(regexp_extract({_BARE}, '^([^?#]*)', 1), '/amp(/|$)', '\1'), '/+$', '')"""
+_PARAMETERS = rf"""[p for p in string_split(regexp_extract({_BARE}, '\?([^#]*)', 1), '&') if p <> '' and not regexp_matches(p, '(?i)^(utm_[a-z]+|ref|fbclid|gclid|cmpid|smid|taid|mod)=')]"""
 
 
 @query(f"""SELECT min(page_id) AS page_id, u AS url FROM (SELECT page_id, {_URL} || CASE WHEN len({_PARAMETERS}) > 0 THEN '?' || array_to_string({_PARAMETERS}, '&') ELSE '' END AS u FROM pages) GROUP BY u""")

@@ -81,6 +81,8 @@ def test_page_text(page, want):
         ("http://a.org/x", "a.org/x"),
         ("https://a.org/x/#part", "a.org/x"),
         ("https://a.org/x?b=1&a=2", "a.org/x?b=1&a=2"),
+        ("https://m.A.org/X/amp?no=7&ref=x&MOD=1", "a.org/X?no=7"),
+        ("https://m.org/ampere", "m.org/ampere"),
         (None, None),
     ],
 )
