@@ -22,10 +22,14 @@ HISTORY, REJECTED, RECENT = "key string, at timestamp", "key string, until times
 
 @dataclass(frozen=True)
 class Digest:
-    """`main` with `story` (the leading article's ord), `infra`, what waits (`later`), and what was judged out."""
+    """`main` with `story` (the leading article's ord), `infra`, what waits (`later`), and what was judged out.
+
+    `infra_over` is beyond the limit of its kind: it goes to the cache of rejections, as what is `rejected` does.
+    """
 
     main: DataFrame
     infra: DataFrame
+    infra_over: DataFrame
     later: DataFrame
     rejected: DataFrame
 
@@ -67,7 +71,8 @@ def digest(
     chosen = cut(stories.top_stories(untold, "story", rank, stories_most))
     infra = cut(judged.where("outcome = 'infra'").orderBy(F.col("published_at").desc(), "ord").limit(infra_most))
     later = untold.join(chosen.select("ord"), "ord", "left_anti")
-    return Digest(chosen, infra, later, judged.where("outcome = 'rejected'"))
+    over = judged.where("outcome = 'infra'").join(infra.select("ord"), "ord", "left_anti")
+    return Digest(chosen, infra, over, later, judged.where("outcome = 'rejected'"))
 
 
 def history_changes(sent: DataFrame, now: Column) -> DataFrame:

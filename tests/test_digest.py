@@ -26,6 +26,7 @@ def test_digest(spark):
     got = d.digest(spark.createDataFrame(rows, d.ITEM).repartition(3), history, rejected, recent, now, start, stories_most=2)
     assert {r.ord: (r.story, r.themes) for r in got.main.collect()} == {4: (4, ["t4"]), 1: (1, ["t1", "t3"]), 2: (1, ["t2"])}
     assert [r.ord for r in got.infra.collect()] == [7]
+    assert got.infra_over.collect() == []
     assert [r.ord for r in got.later.collect()] == [12]
     assert [r.ord for r in got.rejected.collect()] == [8]
     assert {r.key for r in d.history_changes(got.main.where("ord = 4"), now).collect()} == {"gid:g4", "title:o|ai도면나래", "url:a.example/x"}
