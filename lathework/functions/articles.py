@@ -196,7 +196,7 @@ def detail(page: Column, attachment: Column, most: int = DETAIL_CHARS, of_page:
 
 def recovered_score(answer: Column) -> Column:
     """A score within 0 and 1 out of an answer that is no JSON any more."""
-    said = F.regexp_extract(answer, r'"(?:relevance_|importance_)?score"\s*:\s*([0-9]*\.?[0-9]+)', 1).try_cast("double")
+    said = F.regexp_extract(answer, r'"(?:relevance_|importance_)?score"\s*:\s*"?(-?[0-9]*\.?[0-9]+)', 1).try_cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), said)) + F.lit(0.0) * said
 
 

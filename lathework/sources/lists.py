@@ -19,7 +19,7 @@ from lathework.functions import dates
 
 FEED = "channel struct<item: array<struct<title: string, link: string, guid: string, pubDate: string, description: string, author: string, creator: string, category: array<string>, source: struct<_VALUE: string, _url: string>>>>"
 ATOM = "entry array<struct<title: string, id: string, updated: string, published: string, summary: string, content: string, link: array<struct<_href: string, _rel: string>>>>"
-PLACEHOLDERS = ["", "-", "해당없음"]
+PLACEHOLDERS = ["", "기초자치단체", "직접수행"]
 
 
 def squeezed(text: Column) -> Column:
@@ -170,12 +170,12 @@ BUSINESS = Table(
 PROJECTS = Json(
     "iitp", "listBsnsAncmBtinSitu array<struct<ancmId: string, ancmTl: string, rcveStrDe: string, rcveEndDe: string, ancmDe: string, sorgnNm: string, blngGovdSeNm: string, dDay: int>>", "listBsnsAncmBtinSitu", "ancmId", "ancmTl",
     "https://www.iris.go.kr/contents/retrieveBsnsAncmView.do?ancmId={}",
-    {"deadline": lambda r: _end(r["rcveEndDe"]), "department": lambda r: _known(r["blngGovdSeNm"]), "organization": lambda r: _known(r["sorgnNm"]), "posted_date": lambda r: dates.source_date(r["ancmDe"])},
+    {"deadline": lambda r: _end(r["rcveEndDe"]), "department": lambda r: F.coalesce(_known(r["blngGovdSeNm"]), F.lit("과학기술정보통신부")), "organization": lambda r: F.coalesce(_known(r["sorgnNm"]), F.lit("정보통신기획평가원")), "posted_date": lambda r: dates.source_date(r["ancmDe"])},
 )
 EVENTS = Json(
     "jointips", "code int, total int, data array<struct<encodedId: string, title: string, eventStdNm: string, organizer: string, applyEndDt: string, applyEndDate: string, regDt: string, summary: string>>", "data", "encodedId", "title",
-    "https://www.jointips.or.kr/event/{}",
-    {"category": lambda r: _known(r["eventStdNm"]), "deadline": lambda r: _end(F.coalesce(r["applyEndDt"], r["applyEndDate"])), "organization": lambda r: _known(r["organizer"]), "posted_date": lambda r: dates.source_date(r["regDt"]), "summary": lambda r: _known(F.substring(F.trim(r["summary"]), 1, 200))},
+    "https://jointips.or.kr/contents/events/detail?eventId={}",
+    {"department": lambda r: F.lit("TIPS"), "category": lambda r: _known(r["eventStdNm"]), "deadline": lambda r: _end(F.coalesce(r["applyEndDt"], r["applyEndDate"])), "organization": lambda r: _known(r["organizer"]), "posted_date": lambda r: dates.source_date(r["regDt"]), "summary": lambda r: _known(F.substring(F.trim(r["summary"]), 1, 200))},
 )
 
 

@@ -26,7 +26,7 @@ def test_feeds(spark):
 
 def test_tables(spark):
     row = lambda n, org="가온원": f'<tr><td>{n}</td><td>기술</td><td><a href="/v?pblancId=PBLN_{n}">가온 &amp;  나래 {n}</a></td><td>2031-03-01 ~ 2031-03-31</td><td>나래부</td><td>{org}</td><td>2031-02-28</td></tr>'
-    pages = [(1, f"<table>{row(1)}{row(2, '-')}<tr><td>없음</td></tr></table>"), (2, f"<table>{row(1)}<tr><td>x<td>y"), (3, None)]
+    pages = [(1, f"<table>{row(1)}{row(2, '직접수행')}<tr><td>없음</td></tr></table>"), (2, f"<table>{row(1)}<tr><td>x<td>y"), (3, None)]
     got = lists.table_rows(spark.createDataFrame(pages, "page int, html string"), "html", "page", lists.BUSINESS).orderBy("id").collect()
     assert [(r.id, r.page, r.title, str(r.deadline), r.department, r.organization, str(r.posted_date)) for r in got] == [
         ("PBLN_1", 1, "가온 & 나래 1", "2031-03-31 23:59:59", "나래부", "가온원", "2031-02-28"),
@@ -38,10 +38,10 @@ def test_tables(spark):
 def test_json(spark):
     answers = [(1, json.dumps({"listBsnsAncmBtinSitu": [{"ancmId": "7", "ancmTl": " t ", "rcveEndDe": "2031.11.16", "ancmDe": "2031-10-15"}, {"ancmId": None, "ancmTl": "x"}]})), (2, "no json"), (3, None)]
     got = lists.json_rows(spark.createDataFrame(answers, "page int, body string"), "body", "page", lists.PROJECTS).collect()
-    assert [(r.id, r.title, str(r.deadline), str(r.posted_date), r.department) for r in got] == [("7", "t", "2031-11-16 23:59:59", "2031-10-15", None)]
+    assert [(r.id, r.title, str(r.deadline), str(r.posted_date), r.department) for r in got] == [("7", "t", "2031-11-16 23:59:59", "2031-10-15", "과학기술정보통신부")]
     events = [(1, json.dumps({"data": [{"encodedId": "e", "title": "t", "applyEndDt": "2031-01-02 18:00:00", "summary": "s" * 300}]}))]
     r = lists.json_rows(spark.createDataFrame(events, "page int, body string"), "body", "page", lists.EVENTS).first()
-    assert (str(r.deadline), len(r.summary), r.url) == ("2031-01-02 23:59:59", 200, "https://www.jointips.or.kr/event/e")
+    assert (str(r.deadline), len(r.summary), r.url) == ("2031-01-02 23:59:59", 200, "https://jointips.or.kr/contents/events/detail?eventId=e")
 
 
 def test_links_and_details(spark):
