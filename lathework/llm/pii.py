@@ -44,7 +44,7 @@ CONTEXT_WIDTH = 40
 #: A match that is not of the base needs this score.
 THRESHOLD = 0.6
 
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _digits(value: Column) -> Column:
