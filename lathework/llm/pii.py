@@ -25,9 +25,25 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "number": r"(?<![A-Za-z0-9.+@-])[0-9]++(?:-[0-9]++){0,3}+(?![A-Za-z0-9.@-])",
 }
+# The length of account codes by country. Of `iban` the pattern above is the beginning alone; a code ends where
+# the first of its forms that ends at a boundary passes the checksum: of its country's length, without blanks, in groups of
+# four, or as far as capitals and digits go.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_HEAD, _END = "^[A-Z]{2}[0-9]{2}", "(?![A-Za-z0-9])"
+CODE_FORMS = (
+    _HEAD + r"[A-Z0-9]{11,30}+" + _END,
+    _HEAD + rf"(?:\x20[A-Z0-9]{{4}}{_END}){{2,7}}+(?:\x20[A-Z0-9]{{1,3}}{_END})?+",
+    _HEAD + r"(?:\x20?[A-Z0-9]){11,30}+" + _END,
+)
+#: Code points that hold any code with its blanks and the character behind it.
+CODE_WIDTH = 65
 # The score of a confirmed match, and what a nearby word of its kind adds.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "number": 0.3}
 CONTEXT_SCORE = 0.4
@@ -78,13 +94,33 @@ def _confirmed(kind: str, m: Column) -> Column:
         return let(_digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return let(F.replace(m, F.lit(" "), F.lit("")), lambda c: F.length(c).between(15, 34) & mod97(c))
     if kind == "number":
         return F.length(_digits(m)).between(7, 12)
     return F.lit(True)
 
 
+def _account_code(window: Column) -> Column:
+    """The account code that a window of text begins with; null if none passes the checksum."""
+    country = F.substring(window, 1, 2)
+    size = F.lit(None).cast("int")
+    for n, countries in LENGTHS.items():
+        size = F.when(country.isin(*countries.split()), n - 4).otherwise(size)
+    own = F.concat(F.lit(rf"{_HEAD}(?:\x20?[A-Z0-9]){{"), size.cast("string"), F.lit(f"}}{_END}"))
+    forms = F.array(F.regexp_substr(window, own), *[F.regexp_substr(window, F.lit(p)) for p in CODE_FORMS])
+    passes = lambda m: let(F.replace(m, F.lit(" "), F.lit("")), lambda c: F.length(c).between(15, 34) & mod97(c))
+    return F.try_element_at(F.filter(F.array_compact(forms), passes), F.lit(1))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order without those that begin within one before."""
+
+    def step(kept: Column, s: Column) -> Column:
+        within = F.coalesce(F.try_element_at(kept, F.lit(-1))["end"] > s["start"], F.lit(False))
+        return F.when(within, kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+
+
 SPAN = "struct<kind string, start int, end int, score double>"
 
 
@@ -108,10 +144,14 @@ def _spans(kind: str, text: Column) -> Column:
         def span(m: Column, i: Column, at: Column) -> Column:
             before = F.substring(text, F.greatest(at[i] - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(at[i], F.lit(CONTEXT_WIDTH)))
             score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0))
-            whole = F.struct(F.lit(kind).alias("kind"), at[i].alias("start"), (at[i] + F.length(m)).alias("end"), score.alias("score"))
-            return F.when(_confirmed(kind, m), whole)
+            whole = lambda m: F.struct(F.lit(kind).alias("kind"), at[i].alias("start"), (at[i] + F.length(m)).alias("end"), score.alias("score"))
+            if kind == "iban":
+                return let(_account_code(F.substring(text, at[i] + 1, F.lit(CODE_WIDTH))), lambda c: F.when(c.isNotNull(), whole(c)))
+            return F.when(_confirmed(kind, m), whole(m))
 
         kept = let(starts, lambda at: F.transform(found, lambda m, i: span(m, i, at)))
+        if kind == "iban":
+            kept = _apart(F.array_compact(kept).cast(f"array<{SPAN}>"))
         return F.filter(kept, lambda s: s.isNotNull() if kind in BASE_KINDS else s["score"] >= THRESHOLD)
 
     return let(

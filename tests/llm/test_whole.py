@@ -20,3 +20,24 @@ def test_zero_octets(spark):
         assert set(base) <= set(r.spans.split(","))
     cleaned = pii.clean(spark.createDataFrame([("host 10.0.0.1 up",)], "text string")).collect()
     assert cleaned[0].text == "host [IP] up"
+
+
+def test_codes_before_capitals(spark):
+    texts = {
+        "GB82 WEST 1234 5698 7654 32 Bank": [(0, 27)],
+        "GB82WEST12345698765432 Thanks": [(0, 22)],
+        "GB82WEST12345698765432 THANKS A LOT": [(0, 22)],
+        "DE89 3704 0044 0532 0130 00 A B": [(0, 27)],
+        "DE89 3704 0044 0532 0130 00 IBM": [(0, 27)],
+        "to NO93 8601 1117 947 BANK 12": [(3, 21)],
+        "GB82WEST12345698765432 DE89 3704 0044 0532 0130 00 Now": [(0, 22), (23, 50)],
+        "REF: AB12 GB82 WEST 1234 5698 7654 32.": [(10, 37)],
+        "iban GB82 WEST 1234 5698 7654 32 bank": [(5, 32)],
+        "GB82 WEST 1234 5698 7654 33 Bank": [],
+        "GB82WEST12345698765432Thanks": [],
+        "\U0001f600 GB82 WEST 1234 5698 7654 32": [(2, 29)],
+    }
+    got = [[tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("iban:")] for r in found(spark, list(texts))]
+    assert got == list(texts.values())
+    cleaned = pii.clean(spark.createDataFrame([("pay GB82 WEST 1234 5698 7654 32 Bank",)], "text string")).collect()
+    assert cleaned[0].text == "pay [IBAN] Bank"
