@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 
 from lathework.llm import pii
+from lathework.llm.queries import STORED
+from lathework.llm.tokens import Encoder
 from tests.llm import brute
 
 
@@ -41,3 +44,16 @@ def test_codes_before_capitals(spark):
     assert got == list(texts.values())
     cleaned = pii.clean(spark.createDataFrame([("pay GB82 WEST 1234 5698 7654 32 Bank",)], "text string")).collect()
     assert cleaned[0].text == "pay [IBAN] Bank"
+
+
+def same_ids(name, texts):
+    """Texts whose ids differ from the library's own."""
+    path = public_tokenizers.path(name)
+    encoder = Encoder(path)
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [t for t, ids, e in zip(texts, encoder.encode(texts), whole, strict=True) if ids.tolist() != e.ids]
+
+
+def test_separators():
+    texts = [f"a{c}b {c} {c}c  d{c}\n" for c in "\x1c\x1d\x1e\x1f\x85\xa0 　᠎​﻿"]
+    assert same_ids(STORED, [*texts, "\x1c", " \x1f ", "plain text"]) == []
