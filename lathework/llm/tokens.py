@@ -4,7 +4,7 @@ The two public vocabularies cut a text into pieces and encode each piece alone,
 row, and a text may be cut wherever a piece begins. In `word_bpe_49k` no piece holds white space: any blank will do, but
 for U+001C to U+001F, which Python counts as blanks and the vocabulary has tokens for. In `byte_bpe_50k` a blank is the
 first character of the piece after it and a line feed begins a piece, so texts are cut before both; only in runs of three
-or more blanks, or two at the end, a piece can hold a later blank. Such texts, and all texts under
+or more blanks, or two at the end or before an added token, a piece can hold a later blank. Such texts, and all texts under
 another vocabulary, go to the library whole.
 """
 
@@ -18,7 +18,6 @@ import numpy as np
 
 # How the vocabularies treat blanks.
 JOINED, APART = "byte_bpe_50k.json", "word_bpe_49k.json"
-_LONG_RUNS = re.compile(r"\s\s\s|\s\s\Z")
 _SEPARATORS, _BLANKS = "\x1c\x1d\x1e\x1f", re.compile(r"[^\S\x1c-\x1f]+")
 #: Words that a worker remembers, and their characters; beyond, it forgets all and starts anew.
 WORDS, CHARACTERS = 1_000_000, 16_000_000
@@ -51,6 +50,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = os.path.basename(path)
+        ends = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.long_runs = re.compile(rf"\s\s(?:{'|'.join([r'\s', r'\Z', *ends])})")
         self._forget()
 
     def _forget(self) -> None:
@@ -93,7 +94,7 @@ class Encoder:
             elif self.kind == APART:
                 apart = any(c in text for c in _SEPARATORS)
                 yield self._by_words([w for w in _BLANKS.split(text) if w] if apart else text.split())
-            elif self.kind == JOINED and not _LONG_RUNS.search(text):
+            elif self.kind == JOINED and not self.long_runs.search(text):
                 words: list = text.replace("\n", " \n").split(" ")
                 words[0] = (words[0],)
                 yield self._by_words(words)

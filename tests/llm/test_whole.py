@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from lathework.llm import pii
-from lathework.llm.queries import STORED
+from lathework.llm.queries import PACKED, STORED
 from lathework.llm.tokens import Encoder
 from tests.llm import brute
 
@@ -57,3 +57,10 @@ def same_ids(name, texts):
 def test_separators():
     texts = [f"a{c}b {c} {c}c  d{c}\n" for c in "\x1c\x1d\x1e\x1f\x85\xa0 　᠎​﻿"]
     assert same_ids(STORED, [*texts, "\x1c", " \x1f ", "plain text"]) == []
+
+
+def test_blanks_before_added_tokens():
+    blanks = ["", " ", "\n", "\n\n", " \n", "\n ", "  ", "\t\n", "\r\n", "\n\n\n"]
+    texts = [f"end.{a}<|endoftext|>{b}Next" for a in blanks for b in blanks]
+    assert same_ids(PACKED, [*texts, "\n\n<|endoftext|>", "x\n\n<|endoftext|>\n\n<|endoftext|>"]) == []
+    assert same_ids(STORED, texts) == []
