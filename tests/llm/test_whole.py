@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pytest
 
-from lathework.llm import pii
+from lathework.llm import chat, pii
 from lathework.llm.queries import PACKED, STORED
 from lathework.llm.tokens import Encoder
 from tests.llm import brute
@@ -64,3 +65,24 @@ def test_blanks_before_added_tokens():
     texts = [f"end.{a}<|endoftext|>{b}Next" for a in blanks for b in blanks]
     assert same_ids(PACKED, [*texts, "\n\n<|endoftext|>", "x\n\n<|endoftext|>\n\n<|endoftext|>"]) == []
     assert same_ids(STORED, texts) == []
+
+
+def test_long_conversation(spark):
+    long = "é<" * 10_000_001
+    table = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, None, None), (2, 1, "assistant", ""), (None, 0, "assistant", r"### \ </turn>")]
+    frame = spark.createDataFrame(table[:1] + table[2:], "conv_id bigint, turn bigint, role string, text string")
+    frame = frame.union(spark.sql(f"select 1L, 1L, 'assistant', repeat('é<', {len(long) // 2})"))
+    got = {r.conv_id: r for r in chat.chat_digest(frame).collect()}
+    for c in (1, 2, None):
+        turns = [(role or "", text or "") for conv, _, role, text in table if conv == c]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), brute.sha("".join(f"{role}\n{t}\n" for role, t in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), brute.sha(loss))
+
+
+def test_long_record(spark):
+    records = spark.sql("select concat('{\"prompt\":\"', repeat('x', 20000001), '\",\"completion\":\"y\"}') as record")
+    with pytest.raises(Exception, match="beyond the parser's limits"):
+        chat.canonical_turns(records).collect()
+    small = spark.createDataFrame([("{",), (None,), ('{"prompt":"a","completion":"b"}',)], "record string")
+    assert sorted(r.layout for r in chat.canonical_turns(small).collect()) == ["prompt_completion", "unknown", "unknown"]
