@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathework.operators.lineage import components, cut
+from lathework.operators.lineage import cut
 
 
 def merge_copies(rows: DataFrame, order: str, keys: list[str], lists: list[str], first_known: list[str]) -> DataFrame:
@@ -14,32 +14,33 @@ def merge_copies(rows: DataFrame, order: str, keys: list[str], lists: list[str],
     In `order`, which is unique, a row that shares a key with an earlier row is a copy of the row that key belongs to and
     brings its other keys along; keys that already belong to a row stay with it, so a row that bridges two kept ones joins
     the one of its first known key and does not fuse them. Lists are united in order of first sight, `first_known` columns
-    take the first value that is not null or empty. Rows linked by keys are looked at together, others never meet.
+    take the first value that is not null or empty.
+
+    Rows of the same keys belong together and count as their first. Such a row points at the first row of its first known
+    key, which is earlier, and the pointers are followed by doubling over checkpoints: no linked group meets in one task,
+    and what is collected for a row are the distinct values of its lists.
     """
-    by_key = cut(rows.select(F.col(order).alias("_at"), F.posexplode(F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k)) for i, k in enumerate(keys)]))).alias("_n", "_key")))
+    known_keys = F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k)) for i, k in enumerate(keys)]))
+    folded = cut(rows.select(F.col(order).alias("_at"), known_keys.alias("_keys")).where(F.size("_keys") > 0).groupBy("_keys").agg(F.min("_at").alias("_at")))
+    by_key = folded.select("_at", F.posexplode("_keys").alias("_n", "_key"))
     first = by_key.groupBy("_key").agg(F.min("_at").alias("_first"))
-    edges = by_key.join(first, "_key").where(F.col("_at") != F.col("_first")).select("_at", "_first")
-    groups = components(edges, "_at", "_first").withColumnsRenamed({"id": "_at"})
-    kind = rows.schema[order].dataType.simpleString()
-    listed = by_key.join(groups, "_at").groupBy("component", "_at").agg(F.sort_array(F.collect_list(F.struct("_n", "_key")))["_key"].alias("_keys"))
-    owners = listed.groupBy("component").applyInPandas(_owners, f"_at {kind}, _owner {kind}")
-    placed = rows.join(owners, F.col(order) == F.col("_at"), "left").withColumn("_owner", F.coalesce("_owner", order))
+    links = cut(by_key.join(first, "_key").where(F.col("_first") < F.col("_at")).groupBy("_at").agg(F.min_by("_first", "_n").alias("_owner")))
+    while True:
+        ahead = links.select(F.col("_at").alias("_owner"), F.col("_owner").alias("_next"))
+        moved = cut(links.join(ahead, "_owner", "left").select("_at", F.coalesce("_next", "_owner").alias("_owner"), F.col("_next").isNotNull().alias("_moved")))
+        links = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
+    owners = cut(folded.join(links, "_at", "left").select("_keys", F.coalesce("_owner", "_at").alias("_owner")))
+    placed = rows.withColumn("_keys", known_keys).join(owners, "_keys", "left").withColumn("_owner", F.coalesce("_owner", order)).drop("_keys")
     known = lambda c: F.min_by(F.col(c), F.struct((F.col(c).isNull() | (F.col(c).cast("string") == "")).cast("int"), F.col(order)))
-    united = lambda c: F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(c), F.array()).alias("v"))))["v"]))
-    named = {c: united(c) if c in lists else known(c) if c in first_known else F.min_by(c, order) for c in rows.columns}
-    return placed.groupBy("_owner").agg(*[e.alias(c) for c, e in named.items()]).drop("_owner")
-
-
-def _owners(rows):
-    """The row that each row of a linked group belongs to."""
-    belongs, owner = {}, []
-    rows = rows.sort_values("_at")
-    for at, keys in zip(rows["_at"], rows["_keys"], strict=True):
-        mine = next((belongs[k] for k in keys if k in belongs), at)
-        for k in keys:
-            belongs.setdefault(k, mine)
-        owner.append(mine)
-    return rows.assign(_owner=owner)[["_at", "_owner"]]
+    out = placed.groupBy("_owner").agg(*[(known(c) if c in first_known else F.min_by(c, order)).alias(c) for c in rows.columns if c not in lists])
+    for c in lists:
+        seen = placed.select("_owner", F.col(order).alias("_at"), F.posexplode(c).alias("_n", "_value"))
+        values = seen.groupBy("_owner", "_value").agg(F.min(F.struct("_at", "_n")).alias("_first"))
+        united = values.groupBy("_owner").agg(F.sort_array(F.collect_list(F.struct("_first", "_value")))["_value"].alias(c))
+        out = out.join(united, "_owner", "left").withColumn(c, F.coalesce(c, F.array().cast(rows.schema[c].dataType)))
+    return out.select(*rows.columns)
 
 
 def by_canonical_url(rows: DataFrame, url: Column, order: str) -> DataFrame:

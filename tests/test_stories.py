@@ -29,6 +29,28 @@ def test_merge_copies(spark):
     assert got == [[*r[:4], r[4] or None] for r in out]
 
 
+def test_merge_copies_of_one_group(spark, monkeypatch):
+    """A group of copies is no single task's, long chains of keys end, and null values of lists stay."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **b: (_ for _ in ()).throw(AssertionError("a whole group in one task")))
+    rows = [(i, "same", f"t{i}", ["a", None] if i == 7 else [f"x{i % 3}"]) for i in range(300)]
+    rows += [(300 + i, f"c{i}", f"c{i + 1}", None) for i in range(50)] + [(350 + i, None, None, ["n"]) for i in range(3)]
+    rows += [(400 + i, f"d{i // 2}", f"e{(i + 1) // 2}", []) for i in range(40)]
+    frame = spark.createDataFrame(rows, "at bigint, gid string, title string, themes array<string>").repartition(3)
+    got = {r.at: r.themes for r in stories.merge_copies(frame, "at", ["gid", "title"], ["themes"], []).collect()}
+    want, by = {}, {}
+    for at, gid, title, themes in rows:
+        keys = [(i, k) for i, k in enumerate((gid, title)) if k]
+        mine = next((by[k] for k in keys if k in by), at)
+        for k in keys:
+            by.setdefault(k, mine)
+        held = want.setdefault(mine, [])
+        held += [x for x in themes or [] if x not in held]
+    assert len([at for at in want if at >= 400]) == 1
+    assert got == want
+
+
 def test_story_numbers(spark):
     rows = [(1, None, "a"), (2, 1, "a"), (3, 2, "a"), (4, 7, "a"), (5, 3, "b"), (6, 3, "a"), (7, 7, "a"), (8, 99, "a"), (9, 6, "a")]
     got = stories.story_numbers(spark.createDataFrame(rows, "no int, said int, region string"), "no", "said", "region")
