@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import free_name, let
+from lathework.llm.common import cut_out, free_name, in_pieces, let, running
 
 # The kinds in output order, and their patterns. The first four are the base.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -118,38 +118,34 @@ def _apart(spans: Column) -> Column:
         within = F.coalesce(F.try_element_at(kept, F.lit(-1))["end"] > s["start"], F.lit(False))
         return F.when(within, kept).otherwise(F.concat(kept, F.array(s)))
 
-    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+    def apart(s: Column) -> Column:
+        overlap = F.exists(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i)["start"] < F.get(s, i - 1)["end"], F.lit(False)))
+        return F.when(~overlap, s).otherwise(F.aggregate(s, F.array().cast(f"array<{SPAN}>"), step))
+
+    return let(spans, apart)
 
 
 SPAN = "struct<kind string, start int, end int, score double>"
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """Confirmed matches of one kind with their places and scores."""
+def _spans(kind: str, text: Column, pieces: Column) -> Column:
+    """Confirmed matches of one kind with their places and scores; `pieces` is the text in pieces."""
     pattern = F.lit(PATTERNS[kind])
 
     def placed(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")
-
-        def step(a: Column, i: Column, s: Column) -> Column:
-            here = a["at"] + F.length(s["gaps"][i])
-            return F.struct((here + F.length(s["found"][i])).alias("at"), F.concat(a["starts"], F.array(here)).alias("starts"))
-
-        starts = let(
-            F.struct(found.alias("found"), gaps.alias("gaps")),
-            lambda s: F.aggregate(F.sequence(F.lit(0), F.size(s["found"]) - 1), F.struct(*start), lambda a, i: step(a, i, s))["starts"],
-        )
+        def starts(gaps: Column) -> Column:
+            both = F.transform(found, lambda m, i: F.length(gaps[i]) + F.length(m))
+            return F.zip_with(running(both, "int", 0, lambda a, x: a + x), F.slice(gaps, 1, F.size(found)), lambda at, gap: at + F.length(gap))
 
         def span(m: Column, i: Column, at: Column) -> Column:
-            before = F.substring(text, F.greatest(at[i] - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(at[i], F.lit(CONTEXT_WIDTH)))
+            before = cut_out(pieces, F.greatest(at[i] - CONTEXT_WIDTH, F.lit(0)), F.least(at[i], F.lit(CONTEXT_WIDTH)))
             score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0))
             whole = lambda m: F.struct(F.lit(kind).alias("kind"), at[i].alias("start"), (at[i] + F.length(m)).alias("end"), score.alias("score"))
             if kind == "iban":
-                return let(_account_code(F.substring(text, at[i] + 1, F.lit(CODE_WIDTH))), lambda c: F.when(c.isNotNull(), whole(c)))
+                return let(_account_code(cut_out(pieces, at[i], F.lit(CODE_WIDTH))), lambda c: F.when(c.isNotNull(), whole(c)))
             return F.when(_confirmed(kind, m), whole(m))
 
-        kept = let(starts, lambda at: F.transform(found, lambda m, i: span(m, i, at)))
+        kept = let(let(F.split(text, pattern, -1), starts), lambda at: F.transform(found, lambda m, i: span(m, i, at)))
         if kind == "iban":
             kept = _apart(F.array_compact(kept).cast(f"array<{SPAN}>"))
         return F.filter(kept, lambda s: s.isNotNull() if kind in BASE_KINDS else s["score"] >= THRESHOLD)
@@ -163,7 +159,8 @@ def _spans(kind: str, text: Column) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """`docs` with `into`: an array of (kind, start, end, score) by kind as in KINDS, then start; code points, end exclusive."""
     value = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn(into, F.concat(*[_spans(k, value) for k in KINDS]))
+    spans = let(F.struct(value.alias("whole"), in_pieces(value).alias("pieces")), lambda t: F.concat(*[_spans(k, t["whole"], t["pieces"]) for k in KINDS]))
+    return docs.withColumn(into, spans)
 
 
 def redact(docs: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
@@ -173,24 +170,29 @@ def redact(docs: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
     """
     ordered = F.sort_array(F.transform(F.col(pii), lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def merge(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(
-            F.concat(out, F.array(s))
-        )
+    def stretches(spans: Column) -> Column:
+        """(start, end, kind of the first span): a stretch begins where all spans before have ended."""
+
+        def cut(reach: Column) -> Column:
+            first = F.filter(F.transform(spans, lambda s, i: F.when(reach[i] <= s["start"], i)), lambda i: i.isNotNull())
+            last = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return let(first, lambda f: F.transform(f, lambda i, k: F.struct(spans[i]["start"].alias("start"), F.coalesce(F.get(reach, F.get(f, k + 1)), last).alias("end"), spans[i]["kind"].alias("kind"))))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), "int", 0, lambda a, x: F.greatest(a, x)), cut)
 
     def shown(stretches: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            before = F.when(i > 0, stretches[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
-            return F.concat(F.substring(F.col(text), before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        def told(pieces: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                before = F.when(i > 0, stretches[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
+                return F.concat(cut_out(pieces, before, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+            last = F.element_at(stretches, -1)["end"]
+            return F.concat(F.array_join(F.transform(stretches, piece), ""), cut_out(pieces, last, F.length(F.col(text)) - last))
 
-        tail = F.substring(F.col(text), F.element_at(stretches, -1)["end"] + 1, F.length(F.col(text)))
-        return F.concat(F.array_join(F.transform(stretches, piece), ""), tail)
+        return let(in_pieces(F.col(text)), told)
 
-    empty = F.array().cast("array<struct<start int, end int, kind string>>")
-    stretches = F.aggregate(ordered.cast("array<struct<start int, end int, kind string>>"), empty, merge)
-    return docs.withColumn(text, F.when(F.size(pii) > 0, let(stretches, shown)).otherwise(F.col(text))).drop(pii)
+    whole = let(let(ordered, stretches), shown)
+    return docs.withColumn(text, F.when(F.size(pii) > 0, whole).otherwise(F.col(text))).drop(pii)
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -86,3 +86,30 @@ def test_long_record(spark):
         chat.canonical_turns(records).collect()
     small = spark.createDataFrame([("{",), (None,), ('{"prompt":"a","completion":"b"}',)], "record string")
     assert sorted(r.layout for r in chat.canonical_turns(small).collect()) == ["prompt_completion", "unknown", "unknown"]
+
+
+def test_many_matches(spark):
+    """Texts of more matches than one fold takes, wide characters between, and redaction of overlapping spans."""
+    texts = [f"é {i} " * 30 + "a@b.cd, 10.0.0.1 📞 +1 555 010 9999 4111 1111 1111 1111; " * n for i, n in enumerate((1, 63, 64, 65, 300))]
+    for r, text in zip(found(spark, texts), texts, strict=True):
+        want, base = brute.pii(text)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == want
+        spans = sorted(tuple(map(int, s.split(":")[1:])) + (s.split(":")[0],) for s in r.spans.split(","))
+        merged: list[list] = []
+        for a, b, kind in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b, kind])
+        out, at = "", 0
+        for a, b, kind in merged:
+            out, at = f"{out}{text[at:a]}[{kind.upper()}]", b
+        cleaned = pii.clean(spark.createDataFrame([(text,)], "text string")).collect()[0].text
+        assert cleaned == out + text[at:]
+
+
+def test_many_turns(spark):
+    table = [(1, i, ("user", "assistant")[i % 2], f"é{i}\\###") for i in range(200)]
+    r = chat.chat_digest(spark.createDataFrame(table, "conv_id bigint, turn bigint, role string, text string")).where("conv_id = 1").collect()[0]
+    loss = "".join(t for _, _, role, t in table if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (200, len(loss), brute.sha(loss))
