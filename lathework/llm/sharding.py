@@ -18,12 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.common import written
+from lathework.llm.common import free_name, written
 
 BITS = 60
 #: Bits that one round of splitting looks ahead.
 STEP = 4
 DEFAULT_LIMIT = 4 << 20
+#: Columns that a row gets.
+ADDED = ("shard", "shard_depth", "shard_bytes", "shard_fits")
 
 
 def key_hash(key: Column) -> Column:
@@ -40,7 +42,6 @@ def directory(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
 
     Sums by prefix are small against the rows, and each round's sums come from the rows of oversized buckets alone.
     """
-    spark = docs.sparkSession
     sized = docs.select(key_hash(F.col(key)).alias("h"), size.cast("bigint").alias("bytes"))
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     at = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + STEP))
@@ -69,7 +70,7 @@ def directory(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return written(out.coalesce(1), "shard-directory") if spark else out
+    return written(out, "shard-directory")
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -78,25 +79,28 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     The depths that occur are at most 60, so a row meets the directory by an equality join for each of them; the
     directory is joined by Spark's own choice of strategy and is never forced to be broadcast.
     """
-    added = ("shard", "shard_depth", "shard_bytes", "shard_fits")
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     buckets = directory(docs, key, F.octet_length(F.coalesce(F.col(text), F.lit(""))), limit)
     depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
     if not depths:
         return docs.select("*", F.lit("").alias("shard"), F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(True).alias("shard_fits"))
-    prefixes = F.array(*[F.struct(F.lit(d).alias("shard_depth"), _prefix(F.col("__h"), d).alias("prefix")) for d in depths])
-    rows = docs.withColumn("__h", key_hash(F.col(key))).withColumn("__p", F.explode(prefixes)).select("*", "__p.*")
+    own, place = free_name(docs, "own_hash"), free_name(docs, "place")
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col(own), d).alias("prefix")) for d in depths]))
+    rows = docs.withColumn(own, key_hash(F.col(key))).select(*[F.col(f"`{c}`") for c in docs.columns], at.alias(place))
     shards = buckets.select(
+        F.struct("depth", "prefix").alias(place),
+        F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).alias("shard"),
         F.col("depth").alias("shard_depth"),
-        "prefix",
         F.col("bytes").alias("shard_bytes"),
         F.col("fits").alias("shard_fits"),
-        F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).alias("shard"),
     )
-    return rows.join(shards, ["shard_depth", "prefix"]).select(*docs.columns, *added)
+    return rows.join(shards, place).drop(place)
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = DEFAULT_LIMIT) -> None:
-    """The rows as Parquet under shard=<bits>; a shard fits one task, as its limit bounds it."""
+    """The rows as Parquet under shard=<bits>. A shard that fits is written by one task; one that can't be split, by as many as it has limits."""
     rows = assign_shards(docs, key, text, limit)
-    rows.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    every = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    part = F.pmod(F.xxhash64(*every), F.ceil(F.col("shard_bytes") / limit).cast("bigint"))
+    part = F.when(F.col("shard_fits"), F.lit(0).cast("bigint")).otherwise(part)
+    rows.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition(F.col("shard"), part).write.partitionBy("shard").parquet(path)
