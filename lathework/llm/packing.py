@@ -30,6 +30,8 @@ from lathework.llm.common import written
 from lathework.llm.tokens import encoder
 
 SIZE = 1024
+#: Tasks whose counts by length, of some 16 bytes for each length, may be broadcast; those of more meet their pieces by a shuffle.
+BROADCAST_TASKS = 2000
 
 
 @dataclass(frozen=True)
@@ -202,10 +204,13 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SIZE, keep_ids:
     pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end, size, keep_ids), schema(made)), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = written(counts.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-counts")
-    histogram = {r[0]: r[1] for r in base.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
+    counts = written(counts.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-counts")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
     entries = plan(histogram, size)
-    ranked = pieces.join(base.drop("n"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # A row for each task: how many pieces of each length the tasks before it have.
+    bases = written(counts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases")), "piece-bases")
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_TASKS else bases.hint("merge")
+    ranked = pieces.join(bases, "task").withColumn("rank", F.col("rank") + F.element_at("bases", F.col("length")))
     keep = [n for n, _ in made if n not in ("rank", "task")]
     out = [(n, t) for n, t in made if n in keep] + [("sequence_id", "bigint"), ("offset", "bigint")]
     return ranked.select(*keep, "rank").mapInArrow(_placed(entries, size), schema(out))
