@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from lathework.llm import chat, decontam, lm, minhash, packing, pii, quality, sharding, store, suffix
 from lathework.llm.common import new_path, table
 
@@ -25,7 +23,7 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED), PACKED_END, keep_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), PACKED, PACKED_END, keep_ids=False)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
-    store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(STORED), STORED_END)
+    store.write_store(table(spark, sf_dir, "documents"), path, STORED, STORED_END)
     return store.verify_store(spark, path)
 
 

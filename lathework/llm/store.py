@@ -79,6 +79,8 @@ def _cut(tokenizer: str, end: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind, sent = encoder(tokenizer).encode, f"<u{width}", set()
+        if max(encoder(tokenizer).size - 1, end) >> 8 * width:
+            raise ValueError(f"ids of {tokenizer} or the end id need more than {width} bytes")
         for batch in batches:
             docs = batch.column(0)
             out: list[tuple] = []
@@ -142,7 +144,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end: int, width: int = 2) -> None:
-    """The ids of `docs` (doc_id, text) as a store under `path`; ids must fit `width` bytes."""
+    """The ids of `docs` (doc_id, text) as a store under `path`; a vocabulary or end id beyond `width` bytes is an error."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"is_chunk boolean, doc_id {kind}, address binary, n bigint, ids binary, sizes array<int>, deal binary"

@@ -42,16 +42,21 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Ids of texts. `path` is the tokenizer's file."""
+    """Ids of texts. `path` is the tokenizer's file, or the bare name of a public one, which is looked up on this machine."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        if os.sep not in path:
+            import public_tokenizers
+
+            path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = os.path.basename(path)
         ends = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.long_runs = re.compile(rf"\s\s(?:{'|'.join([r'\s', r'\Z', *ends])})")
+        self.size = self.tokenizer.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:

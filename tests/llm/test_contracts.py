@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lathework.llm import blocks, decontam, suffix
+from lathework.llm import blocks, decontam, packing, sharding, store, suffix
 from lathework.llm.queries import PACKED, PACKED_END, QUERIES, STORED, STORED_END
 from tests.llm import brute
 
@@ -48,7 +48,7 @@ def folders(spark, tmp_path_factory):
     docs = [(i * 7 % 101 + 1, t) for i, t in enumerate(odd_texts())]
     docs.append((None, passage(2, 200)))
     frame = spark.createDataFrame([(d, t, "en", None, i) for i, (d, t) in enumerate(docs)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for clash in ("shard", "rejected_by", "pii", "block", "hit_id", "kept_id", "task", "rank", "n_words", "part"):
+    for clash in ("shard", "rejected_by", "pii", "block", "hit_id", "kept_id", "task", "rank", "n_words", "part", "prefix", "depth", "place", "own_hash", "pieces"):
         frame = frame.withColumn(clash, F.lit("own"))
     frame.repartition(3).write.parquet(f"{odd}/documents.parquet")
     spark.createDataFrame(odd_items(), "item_id bigint, text string").write.parquet(f"{odd}/benchmark.parquet")
@@ -79,7 +79,9 @@ def test_lm(spark, folders, case):
 
 
 @CASES
-def test_packing(spark, folders, case):
+@pytest.mark.parametrize("tasks", [packing.BROADCAST_TASKS, 0])
+def test_packing(spark, folders, case, tasks, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_TASKS", tasks)
     folder, docs, _ = folders[case]
     want = {d: i for (d, _), i in zip(docs, brute.ids(public_tokenizers.path(PACKED), [t for _, t in docs], PACKED_END), strict=True)}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -170,6 +172,27 @@ def test_sharding(spark, folders, case):
         assert sum(sizes[r.doc_id] for r in own) == own[0].shard_bytes
         assert own[0].shard_bytes <= 1 << 20
         assert not any(other != name and other.startswith(name) for other in shards)
+        if name:  # a split was needed: the bucket above holds too much
+            assert sum(own[0].shard_bytes for other, own in shards.items() if other.startswith(name[:-1])) > 1 << 20
+
+
+def test_unsplittable_shards(spark, tmp_path):
+    """One key with a third of all rows, and a row over the limit; both are written whole."""
+    table = [(f"k{i % 50}" if i % 3 else "hot", "x" * 40, i) for i in range(600)] + [("big", "y" * 5000, -1)]
+    docs = spark.createDataFrame(table, "key string, text string, shard_fits int")
+    got = sharding.assign_shards(docs, "key", "text", 2000).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += len(r.text)
+    for r in got:
+        assert sizes[r.shard] == r.shard_bytes
+        assert r.shard_fits == (r.shard_bytes <= 2000)
+        assert r.shard_fits or r.shard_depth == sharding.BITS
+    assert {r.key for r in got if not r.shard_fits} == {"hot", "big"}
+    sharding.write_shards(docs, f"{tmp_path}/shards", "key", "text", 2000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted((r.key, r.text) for r in back.collect()) == sorted((k, t) for k, t, _ in table)
+    assert back.where("key = 'hot'").select(F.input_file_name()).distinct().count() > 1
 
 
 @CASES
@@ -183,6 +206,12 @@ def test_store(spark, folders, case):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows(spark, "op8_store", folder)} == want
 
 
+def test_ids_beyond_width(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        store.write_store(docs, f"{tmp_path}/store", STORED, STORED_END, width=1)
+
+
 @CASES
 @pytest.mark.parametrize(("hot", "size"), [(suffix.HOT, blocks.BLOCK_BYTES), (3, 1 << 16)])
 def test_repeats(spark, folders, case, hot, size, monkeypatch):
