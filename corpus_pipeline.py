@@ -7,7 +7,6 @@ and clashing columns are those of the operators.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their ids, and their places in sequences."""
-    return packing.pack(docs, public_tokenizers.path(PACKED), PACKED_END)
+    return packing.pack(docs, PACKED, PACKED_END)
 
 
 STAGES = [
