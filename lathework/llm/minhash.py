@@ -213,7 +213,8 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # Classes of equal sets. The bands follow from the set, so any row's will do.
     classes = written(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands")), "classes")
     bands = classes.select("rep", "size", F.explode("bands").alias("band"))
-    groups = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where(F.col("leader") < F.col("last"))
+    # Written, so that the join with them is of two plain shuffles, and a band with very many members is split.
+    groups = written(bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where(F.col("leader") < F.col("last")), "groups")
     members = written(bands.join(_shuffled(groups.select("band", "leader")), "band"), "band-members")
     pairs = written(members.where(F.col("rep") != F.col("leader")).select("leader", "rep").distinct(), "pairs")
     wanted = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select("rep")).distinct()
@@ -223,7 +224,8 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     more = _residual_links(members, labels, texts)
     if more is not None:
         labels = connected(links.unionByName(more))
-    named = labels.groupBy("label").agg(F.min("node").alias("component_id")).join(_shuffled(labels), "label").select(F.col("node").alias("rep"), "component_id")
+    least = written(labels.groupBy("label").agg(F.min("node").alias("component_id")), "components")
+    named = labels.join(_shuffled(least), "label").select(F.col("node").alias("rep"), "component_id")
     by_set = classes.select("s1", "s2", "rep").join(_shuffled(named), "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     joined = sketch.select("doc_id", "n_shingles", "s1", "s2").join(_shuffled(by_set), ["s1", "s2"], "left")
     # A null doc_id takes part in no class.
@@ -233,7 +235,7 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def _leader_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs that are similar on full sets. Members are dealt by (leader, salt), so no leader's group meets in one task."""
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    salts = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "salts")
     salted = pairs.join(_shuffled(salts), "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("id"))
     members = salted.join(_shuffled(texts), "id").select("leader", "salt", F.lit(True).alias("member"), "id", "text")
     own = salts.join(_shuffled(texts), F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), "id", "text")
