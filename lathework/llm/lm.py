@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.blocks import blocks_for, edges, from_planes, in_blocks, packed, planes, unpacked
+from lathework.llm.blocks import blocks_for, cuts, from_planes, in_blocks, packed, planes, unpacked
 from lathework.llm.common import word_array
 from lathework.llm.hashing import U64, chunks, mixed, word_hashes
 
@@ -72,9 +72,8 @@ def _count(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         grams, counts = _distinct(*_grams(_texts(t))[:3])
-        at = edges(grams, buckets)
-        full = np.flatnonzero(np.diff(at))
-        cut = [(int(at[b]), int(at[b + 1])) for b in full]
+        full, at = cuts(grams, buckets)
+        cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
         return pa.table({
             "bucket": pa.array(full, pa.int32()),
             "block": pa.array(np.full(len(full), t.column("block")[0].as_py()), pa.int32()),
@@ -151,8 +150,8 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, how many words were scored at each order, and log_score (natural logarithm)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    words, total = docs.agg(F.sum(F.size(word_array(F.coalesce("text", F.lit(""))))), F.sum(F.octet_length("text"))).first()
-    blocks = blocks_for(total, BLOCK_BYTES)
+    words, total, rows = docs.agg(F.sum(F.size(word_array(F.coalesce("text", F.lit(""))))), F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = blocks_for(total, rows, BLOCK_BYTES)
     dealt = in_blocks(docs, blocks)
     packets = dealt.groupBy("block").applyInArrow(_count(blocks), "bucket int, block int, n int, hashes binary, counts binary")
     answers = packets.groupBy("bucket").applyInArrow(_total, "block int, bucket int, n int, totals binary")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathework.llm.blocks import blocks_for, edges, from_planes, in_blocks, packed, planes, unpacked
+from lathework.llm.blocks import blocks_for, cuts, from_planes, in_blocks, packed, planes, unpacked
 from lathework.llm.hashing import U64, _tables, chunks, mixed
 
 LENGTH, GRAM = 50, 24
@@ -228,14 +228,14 @@ def _announce(buckets: int):
         new = _new(anchor)
         docs = np.diff(np.append(new, len(anchor)))
         anchor = anchor[new]
-        at = edges(anchor, buckets)
-        full = np.flatnonzero(np.diff(at)).tolist()
+        full, at = cuts(anchor, buckets)
+        parts = [slice(i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return pa.table({
             "bucket": pa.array(full, pa.int32()),
             "block": pa.array([t.column("block")[0].as_py()] * len(full), pa.int32()),
-            "n": pa.array([int(at[k + 1] - at[k]) for k in full], pa.int32()),
-            "anchors": pa.array([packed(anchor[at[k] : at[k + 1]]) for k in full], pa.binary()),
-            "docs": pa.array([planes(docs[at[k] : at[k + 1]]) for k in full], pa.binary()),
+            "n": pa.array([s.stop - s.start for s in parts], pa.int32()),
+            "anchors": pa.array([packed(anchor[s]) for s in parts], pa.binary()),
+            "docs": pa.array([planes(docs[s]) for s in parts], pa.binary()),
         })
 
     return run
@@ -283,11 +283,11 @@ def _send(buckets: int):
         anchor, whole, place, strings, doc = b.repeated(codes)
         first = _new(anchor, whole)  # with the least document
         anchor, place, strings, doc = anchor[first], place[first], strings[first], doc[first]
-        at = edges(anchor, buckets)
+        full, at = cuts(anchor, buckets)
         block = docs.column("block")[0].as_py()
         rows = []
-        for k in np.flatnonzero(np.diff(at)).tolist():
-            s = slice(int(at[k]), int(at[k + 1]))
+        for k, i, j in zip(full.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            s = slice(i, j)
             size = strings[s] + LENGTH - 1
             index = np.repeat(place[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             least = doc[s].min()
@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     What is kept need not be valid UTF-8, as strings may begin and end within a character.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    blocks = blocks_for(docs.agg(F.sum(F.octet_length("text"))).first()[0])
+    blocks = blocks_for(*docs.agg(F.sum(F.octet_length("text")), F.count("*")).first())
     buckets = 2 * blocks
     dealt = in_blocks(docs, blocks)
     first = dealt.groupBy("block").applyInArrow(_announce(blocks), _FIRST).groupBy("bucket").applyInArrow(_in_two(HOT), _ANSWER)
