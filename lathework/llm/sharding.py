@@ -98,7 +98,10 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = DEFAULT_LIMIT) -> None:
-    """The rows as Parquet under shard=<bits>. A shard that fits is written by one task; one that can't be split, by as many as it has limits."""
+    """The rows as Parquet under shard=<bits>. A shard that fits is written by one task; one that can't be split, by as many as it has limits.
+
+    Rows that are equal in all columns are written by one task.
+    """
     rows = assign_shards(docs, key, text, limit)
     every = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
     part = F.pmod(F.xxhash64(*every), F.ceil(F.col("shard_bytes") / limit).cast("bigint"))
