@@ -5,10 +5,10 @@ leftmost of equals) is a fingerprint, so two texts that share K + W - 1 words in
 the same place. Fingerprints of documents and items are joined, and each hit is extended word by word to both sides
 within the window's reach: if the equal run has WINDOW words, its words are hit. Items shorter than a window are one
 window of their own length; for each such length that occurs (nine at most), documents give the hashes of all their runs
-of it.
+of it, in the same pass.
 
-The benchmark's fingerprints are broadcast only if a count finds them few; otherwise the join shuffles, and documents
-without any hit are put aside by a semi join on bare fingerprints first.
+The benchmark's fingerprints, and the ids of documents hit, are broadcast only if a count finds them few; otherwise the
+joins shuffle, and documents without any hit are put aside by a semi join on bare fingerprints first.
 
 Defined cases: null or empty text has no words; items without id are ignored, repeated ones count once; rows are told
 apart by (doc_id, text), so repeated rows get equal results; an empty benchmark hits nothing; other columns are dropped
@@ -24,7 +24,7 @@ from lathework.llm.common import free_name, let, written
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Fingerprints of the benchmark, of some 200 bytes each, that may be broadcast.
+#: Fingerprints of the benchmark, of some 200 bytes each, or ids of documents hit, that may be broadcast.
 BROADCAST_ROWS = 100_000
 #: What separates words, before capitals become small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,7 +44,9 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")).cast("bigint")
 
 
-FINGERPRINT = "struct<fp bigint, at int, left int, near array<bigint>>"
+FINGERPRINT = "struct<size int, fp bigint, at int, left int, near array<bigint>>"
+#: The lower half of a run's value is its place, the upper half that of its hash.
+_PLACE = (1 << 32) - 1
 
 
 def _fingerprints(w: Column) -> Column:
@@ -53,11 +55,17 @@ def _fingerprints(w: Column) -> Column:
 
     def near(p: Column, h: Column) -> Column:
         left = F.least(p, F.lit(reach))
-        return F.struct(h[p].alias("fp"), p.alias("at"), left.alias("left"), F.slice(w, p - left + 1, left + K + reach).alias("near"))
+        return F.struct(F.lit(WINDOW).alias("size"), h[p].alias("fp"), p.alias("at"), left.alias("left"), F.slice(w, p - left + 1, left + K + reach).alias("near"))
+
+    def paired(a: Column, b: Column, step: int) -> Column:
+        # The least of each element and the one `step` further on; past the end there is none.
+        return F.zip_with(a, F.slice(b, step + 1, F.size(b)), lambda x, y: F.least(x, y))
 
     def chosen(h: Column) -> Column:
-        least = lambda i: F.slice(h, i + 1, W)
-        at = F.transform(F.sequence(F.lit(0), F.size(h) - W), lambda i: (i + F.array_position(least(i), F.array_min(least(i))) - 1).cast("int"))
+        # Upper half of the hash, then the place: the least is the leftmost of equals. Windows by doubling: 2, 4, then W.
+        values = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("bigint")))
+        windows = let(let(values, lambda v: paired(v, v, 1)), lambda two: paired(paired(two, two, 2), two, W - 2))
+        at = F.transform(F.slice(windows, 1, F.size(h) - W + 1), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
         return F.transform(F.array_distinct(at), lambda p: near(p, h))
 
     runs = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[w[i + j] for j in range(K)]))
@@ -68,22 +76,24 @@ def _runs(w: Column, length: int) -> Column:
     """All runs of `length` words, in the form of fingerprints."""
     every = F.transform(
         F.sequence(F.lit(0), F.size(w) - length),
-        lambda i: let(F.slice(w, i + 1, length), lambda s: F.struct(F.xxhash64(s).alias("fp"), i.alias("at"), F.lit(0).alias("left"), s.alias("near"))),
+        lambda i: let(F.slice(w, i + 1, length), lambda s: F.struct(F.lit(length).alias("size"), F.xxhash64(s).alias("fp"), i.alias("at"), F.lit(0).alias("left"), s.alias("near"))),
     )
     return F.when(F.size(w) >= length, every).otherwise(F.array().cast(f"array<{FINGERPRINT}>"))
 
 
-def _marks(rows: DataFrame, length: int | None) -> DataFrame:
-    """A row for each fingerprint of `rows`, which have an array of word hashes `w`."""
-    made = let(F.col("w"), _fingerprints if length is None else lambda w: _runs(w, length))
+def _marks(rows: DataFrame, short: list[int], own: bool = False) -> DataFrame:
+    """A row for each fingerprint of `rows`, which have an array of word hashes `w`: in one pass for windows and all lengths in `short`.
+
+    With `own`, a row's runs are of its own number of words alone, as an item's.
+    """
+    runs = lambda w, n: F.when(F.size(w) == n, _runs(w, n)).otherwise(F.array().cast(f"array<{FINGERPRINT}>")) if own else _runs(w, n)
+    made = let(F.col("w"), lambda w: F.concat(_fingerprints(w), *[runs(w, n) for n in short]))
     keep = [c for c in rows.columns if c != "w"]
     return rows.select(*keep, F.inline(made))
 
 
-def _extended(length: int | None) -> tuple[Column, Column, Column]:
-    """First and last + 1 hit word of a joined pair of fingerprints, and whether they make a window."""
-    if length is not None:
-        return F.col("at"), F.col("at") + length, F.col("near") == F.col("item_near")
+def _extended() -> tuple[Column, Column, Column]:
+    """First and last + 1 hit word of a joined pair of fingerprints of one size, and whether they make a window."""
 
     def run(a: str, b: str, step: int) -> Column:
         # Words equal from the fingerprint outwards.
@@ -97,7 +107,14 @@ def _extended(length: int | None) -> tuple[Column, Column, Column]:
 
     left, right = run("near", "item_near", -1), run("near", "item_near", 1)
     same = F.slice("near", F.col("left") + 1, K) == F.slice("item_near", F.col("item_left") + 1, K)
-    return F.col("at") - left, F.col("at") + K + right, same & (left + right + K >= WINDOW)
+    short = F.col("size") < WINDOW
+    holds = F.when(short, F.col("near") == F.col("item_near")).otherwise(same & (left + right + K >= WINDOW))
+    return F.when(short, F.col("at")).otherwise(F.col("at") - left), F.when(short, F.col("at") + F.col("size")).otherwise(F.col("at") + K + right), holds
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Written `rows`, broadcast if a count finds them few; else a shuffle meets them, which splits a frequent key."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -105,21 +122,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
     hashed = lambda t: F.transform(words(F.col(t)), lambda w: F.xxhash64(w))
     items = written(benchmark.where(F.col("item_id").isNotNull()).select("item_id", hashed("text").alias("w")).where(F.size("w") > 0).distinct(), "benchmark")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), hashed(text).alias("w"))
-    short = [r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect()]
-    found = None
-    for length in [None, *sorted(short)]:
-        fits = items.where(F.size("w") >= WINDOW) if length is None else items.where(F.size("w") == length)
-        marks = written(_marks(fits, length).select("item_id", "fp", F.col("left").alias("item_left"), F.col("near").alias("item_near")), "fingerprints")
-        theirs = _marks(rows, length)
-        if marks.count() <= BROADCAST_ROWS:
-            marks = F.broadcast(marks)
-        else:
-            hit = theirs.select("doc_id", "text_hash", "fp").join(marks.select("fp"), "fp", "left_semi").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-            theirs = _marks(rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left_semi"), length)
-        first, last, holds = _extended(length)
-        pairs = theirs.join(marks, "fp").where(holds).select("doc_id", "text_hash", "item_id", first.cast("int").alias("first"), last.cast("int").alias("last"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found
+    short = sorted(r[0] for r in items.where(F.size("w") < WINDOW).select(F.size("w")).distinct().collect())  # nine at most
+    marks = written(_marks(items, short, own=True).select("item_id", "size", "fp", F.col("left").alias("item_left"), F.col("near").alias("item_near")), "fingerprints")
+    theirs, few = _marks(rows, short), _few(marks)
+    if marks.count() > BROADCAST_ROWS:
+        # Bare fingerprints first: the words near them travel for documents alone that share one with an item.
+        hit = theirs.select("doc_id", "text_hash", "size", "fp").join(marks.select("size", "fp").distinct().hint("merge"), ["size", "fp"], "left_semi")
+        hit = written(hit.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "hit-documents")
+        theirs = _marks(rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left_semi"), short)
+    first, last, holds = _extended()
+    return theirs.join(few, ["size", "fp"]).where(holds).select("doc_id", "text_hash", "item_id", first.cast("int").alias("first"), last.cast("int").alias("last"))
 
 
 def _covered(ranges: Column) -> Column:
@@ -149,8 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs."""
     hit_id, hit_hash = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
-    hits = find_hits(docs, benchmark, text).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text) == F.col(hit_hash)), "left_anti")
+    hits = written(find_hits(docs, benchmark, text).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct(), "hits")
+    return docs.join(_few(hits), F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text) == F.col(hit_hash)), "left_anti")
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
