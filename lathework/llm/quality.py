@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade: the rule that rejects most per unit of cost comes first.
 
-A rule is a column that is true where a document fails. On a bounded sample each rule's cost (seconds of a job over the
-sample) and selectivity (share it rejects) are measured; the rules then stand in one CASE expression in descending order
-of rejection per cost, so a document that fails an early rule never pays for a later one. The order changes the work, not
-the verdict: a document is kept when no rule rejects it.
+A rule is true of a document that fails, and reads measures of its text. On a bounded sample each rule's cost (characters
+read times what its measures take for each, less those already taken) and selectivity (share of what is left that it
+rejects) are estimated; the rules then stand in one expression in descending order of rejection per cost, so a document
+that fails an early rule never pays for a later one, and no measure is taken twice. The order changes the work, not the
+verdict: a document is kept when no rule rejects it.
 
 Defined cases: null text has no words and fails; empty text likewise; other columns are carried along, but for one of the
 name of the added column, which is replaced; repeated rows get the same verdict; an empty table gives an empty table.
@@ -11,7 +12,6 @@ name of the added column, which is replaced; repeated rows get the same verdict;
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,8 +27,10 @@ MAX_SYMBOL_PERCENT = 20
 MAX_DUP_LINE_PERCENT = 60
 MIN_LINES = 4
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 25
-#: Rows that the order of the rules is estimated on, and the longest text among them in bytes.
-SAMPLE_ROWS, SAMPLE_TEXT = 256, 1 << 16
+MAX_TOP_WORD_PERCENT = 40
+#: Rows that the order of the rules is estimated on, one in so many by the hash of the text, and the longest text among
+#: them in bytes: they travel to the driver. Costs are by volume, so leaving out longer ones does not shift them.
+SAMPLE_ROWS, SAMPLE_OF, SAMPLE_TEXT = 256, 8, 1 << 16
 
 
 def _text(text: str) -> Column:
@@ -84,29 +86,43 @@ def n_repeat_words(text: Column) -> Column:
     return let(let(word_array(text), hashes), repeated).cast("long")
 
 
-#: What rules read, as functions of the text.
-MEASURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "lines": lambda t: let(_lines(t), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))),
-    "n_repeat_words": n_repeat_words,
+def top_word(text: Column) -> Column:
+    """How often the most frequent word occurs: the longest run of equal ones among the sorted words."""
+
+    def longest(w: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), new)
+        gaps = let(starts, lambda s: F.transform(s, lambda x, k: F.coalesce(F.get(s, k + 1), F.size(w)) - x))
+        return F.when(F.size(w) > 0, F.array_max(gaps)).otherwise(F.lit(0))
+
+    return let(F.sort_array(word_array(text)), longest).cast("long")
+
+
+@dataclass(frozen=True)
+class Measure:
+    """What rules read: a function of the text, and what a character of it costs, relative to a scan by one pattern."""
+
+    of: Callable[[Column], Column]
+    cost: float
+
+
+MEASURES: dict[str, Measure] = {
+    "n_words": Measure(n_words, 2.0),
+    "word_chars": Measure(word_chars, 1.5),
+    "n_symbols": Measure(n_symbols, 1.0),
+    "lines": Measure(lambda t: let(_lines(t), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))), 1.5),
+    "n_repeat_words": Measure(n_repeat_words, 8.0),
+    "top_word": Measure(top_word, 6.0),
 }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`fails` takes a struct of the measures in `needs` and is true where a document is rejected."""
+    """`fails` takes the measures in `needs` by name and is true where a document is rejected."""
 
     name: str
     needs: tuple[str, ...]
-    fails: Callable[[Column], Column]
-
-    def on_text(self, text: Column) -> Column:
-        return let(F.struct(*[MEASURES[m](text).alias(m) for m in self.needs]), self.fails)
-
-    def on_columns(self) -> Column:
-        return self.fails({m: F.col(m) for m in self.needs})
+    fails: Callable[[dict[str, Column]], Column]
 
 
 RULES = [
@@ -115,57 +131,89 @@ RULES = [
     Rule("repeated_lines", ("lines",), lambda m: (m["lines"]["n"] >= MIN_LINES) & (100 * m["lines"]["dup"] > MAX_DUP_LINE_PERCENT * m["lines"]["n"])),
     Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] < MIN_MEAN_WORD * m["n_words"]) | (m["word_chars"] > MAX_MEAN_WORD * m["n_words"])),
     Rule("repeated_words", ("n_repeat_words", "n_words"), lambda m: 100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]),
+    Rule("one_word", ("top_word", "n_words"), lambda m: 100 * m["top_word"] > MAX_TOP_WORD_PERCENT * m["n_words"]),
 ]
 BASE_RULES = ("few_words", "repeated_words")
 
 
-def ordered_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> list[Rule]:
-    """The rules by rejection per cost on a bounded sample of documents; ties keep the order given."""
-    rows = docs.select(text).where(F.octet_length(_text(text)) <= SAMPLE_TEXT).limit(SAMPLE_ROWS).collect()
-    if not rows:
+def sample_of(docs: DataFrame, text: str = "text") -> DataFrame | None:
+    """Up to SAMPLE_ROWS texts, chosen by their hash, as a table of its own; None if there are none."""
+    few = docs.select(_text(text).alias("text")).where((F.octet_length("text") <= SAMPLE_TEXT) & (F.pmod(F.xxhash64("text"), F.lit(SAMPLE_OF)) == 0))
+    rows = few.limit(SAMPLE_ROWS).collect()
+    return docs.sparkSession.createDataFrame(rows, "text string").coalesce(1) if rows else None
+
+
+def ordered_rules(docs: DataFrame, rules: list[Rule], text: str = "text", known: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by rejection per cost, one by one: what earlier rules have measured costs a later one nothing.
+
+    One job over the sample tells which rules reject each text and how many characters it has; a rule's cost is that of
+    its measures not yet taken, by volume, and its selectivity is of the texts that the rules before it leave. Both are
+    the same in each run over the same sample. `known` measures cost nothing at all; ties keep the order given.
+    """
+    sample = sample_of(docs, text)
+    if sample is None:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(rows, docs.select(text).schema).coalesce(1)
-    worth = {}
-    for r in rules:
-        began = time.perf_counter()
-        rejected = sample.agg(F.count_if(r.on_text(_text(text)))).first()[0]
-        worth[r.name] = rejected / len(rows) / max(time.perf_counter() - began, 1e-4)
-    return sorted(rules, key=lambda r: -worth[r.name])
+    measures = {m: MEASURES[m].of(F.col("text")) for m in dict.fromkeys(n for r in rules for n in r.needs)}
+    told = sample.select(F.length("text").alias("size"), *[x.alias(m) for m, x in measures.items()])
+    told = told.select("size", *[F.coalesce(r.fails({m: F.col(m) for m in r.needs}), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
+    left, order, have, rest = told, [], set(known), list(range(len(rules)))
+    while rest:
+        volume = sum(t["size"] for t in left) + len(left) + 1
+        cost = {i: volume * (0.05 + sum(MEASURES[m].cost for m in rules[i].needs if m not in have)) for i in rest}
+        best = max(rest, key=lambda i: (sum(t[f"r{i}"] for t in left) / cost[i], -cost[i], -i))  # noqa: B023
+        order.append(rules[best])
+        have |= set(rules[best].needs)
+        left = [t for t in left if not t[f"r{best}"]]
+        rest.remove(best)
+    return order
 
 
-def cascade(rules: list[tuple[str, Column]]) -> Column:
-    """The name of the first rule that rejects, null if none does; later rules are not evaluated."""
-    verdict = F.lit(None).cast("string")
-    for name, fails in reversed(rules):
-        verdict = F.when(fails, name).otherwise(verdict)
-    return verdict
+def cascade(rules: list[Rule], text: Column, known: dict[str, Column] | None = None) -> Column:
+    """Whether a rule rejects. A rule is evaluated for texts alone that those before it let pass, and a measure once a text."""
+    have = dict(known or {})
+    if not rules:
+        return F.lit(False)
+    rule, new = rules[0], [m for m in rules[0].needs if m not in have]
 
+    def verdict(have: dict[str, Column]) -> Column:
+        return F.coalesce(rule.fails(have), F.lit(False)) | cascade(rules[1:], text, have)
 
-def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "rejected_by") -> DataFrame:
-    """`docs` with `into`: the first rule in the cascade that rejects the document, null if it is kept."""
-    return docs.withColumn(into, _verdict(docs, rules, text))
+    if not new:
+        return verdict(have)
+    return let(F.struct(*[MEASURES[m].of(text).alias(m) for m in new]), lambda s: verdict(have | {m: s[m] for m in new}))
 
 
-def _verdict(docs: DataFrame, rules: list[Rule] | None, text: str) -> Column:
-    ordered = ordered_rules(docs, RULES if rules is None else rules, text)
-    return cascade([(r.name, r.on_text(_text(text))) for r in ordered])
+def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", into: str = "rejected") -> DataFrame:
+    """`docs` with `into`: whether a rule rejects the document. Which one did first depends on the order, so it isn't told."""
+    return docs.withColumn(into, _rejected(docs, rules, text))
+
+
+def _rejected(docs: DataFrame, rules: list[Rule] | None, text: str) -> Column:
+    return cascade(ordered_rules(docs, RULES if rules is None else rules, text), _text(text))
 
 
 def passing(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """The rows of `docs` that no rule rejects."""
-    return docs.where(_verdict(docs, rules, text).isNull())
+    return docs.where(~_rejected(docs, rules, text))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with every measure as a column, for a cascade over all of which the measures are wanted too."""
-    return docs.withColumns({name: f(_text(text)) for name, f in MEASURES.items()})
+#: The measures that the digest tells of every document.
+TOLD = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its measures, whether it fails the base rules, and whether the cascade keeps it."""
-    measured = measure(docs.select("doc_id", "text")).drop("text")
-    rejected_by = cascade([(r.name, r.on_columns()) for r in ordered_rules(docs, RULES)])
-    failed = cascade([(r.name, r.on_columns()) for r in RULES if r.name in BASE_RULES]).isNotNull()
+    """One row per document: its measures, whether it fails the base rules, and whether the cascade keeps it.
+
+    The told measures are taken once for all rules; rules that need others are evaluated for documents alone that pass
+    the rest.
+    """
+    measured = docs.select("doc_id", _text("text").alias("text")).withColumns({m: MEASURES[m].of(F.col("text")) for m in TOLD})
+    told = {m: F.col(m) for m in TOLD}
+    failed = F.lit(False)
+    for r in RULES:
+        if r.name in BASE_RULES:
+            failed = failed | r.fails(told)
+    rejected = cascade(ordered_rules(docs, RULES, known=TOLD), F.col("text"), told)
     return measured.select(
         "doc_id",
         "n_words",
@@ -174,5 +222,5 @@ def quality_digest(docs: DataFrame) -> DataFrame:
         F.col("lines.dup").alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & rejected_by.isNull()).alias("kept"),
+        (~failed & ~rejected).alias("kept"),
     )
