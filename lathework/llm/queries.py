@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import chat, decontam, lm, minhash, packing, pii, quality, sharding, store, suffix
+from lathework.llm import chat, decontam, lm, minhash, oracles, packing, pii, quality, sharding, store, suffix
 from lathework.llm.common import new_path, table
 
 
@@ -85,4 +85,10 @@ g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (is3) AS n3, count(*) FILTER
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(n3, 0)::BIGINT AS n_trigram, coalesce(n2, 0)::BIGINT AS n_bigram,
        coalesce(n - n3 - n2, 0)::BIGINT AS n_unigram, round(coalesce(v, 0), 4) AS log_score
 FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "op4_chat": oracles.CHAT,
+    "op5_minhash": oracles.NEAR,
+    "op6_quality": oracles.QUALITY,
+    "op7_sharding": oracles.SHARDS,
+    "op9_suffix": oracles.REPEATS,
+    "op10_decontamination": oracles.LEAKS,
 }
