@@ -1,105 +1,86 @@
 """Deadlines that stand in free text.
 
-A phrase such as 'application period' opens a window; the first window with a date in it decides. Of a period its end
-counts; a period without an end has no deadline. Years that are left out follow from weekdays, from the date before, or
-from the reference day.
+One pass over a text finds four kinds of tokens: phrases that open a period, section marks, range marks, and dates. A
+small fold over the tokens after a phrase then decides; the first phrase with a date in its reach counts.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-# Phrases and marks of the notices.
-SUBJECTS, SPANS, POINTS = "접수 신청 공모 모집 제출 등록".split(), "기간 기한".split(), "일시 일자 일 기한 시한".split()
-MERE_REFERENCES = "기준 현재 전일 전날 전까지 이전 이후 으로부터 로부터 부터 임박 연장 까지 동안".split()
-SECTION_MARKS, WAVES, APOSTROPHES, WEEKDAYS = "□■▣◆◇", "~～∼〜", "’'‘`´", "월화수목금토일"
-#: Characters of a window.
-WINDOW = 160
-
-_end = f"마감\\s*(?:{'|'.join(POINTS)})"
-_OPENER = re.compile(f"(?:{'|'.join(SUBJECTS)})\\s*(?:{'|'.join(SPANS)}|{_end}|마감)|{_end}")
-_REFERENCE = re.compile(rf"\s*(?:{'|'.join(MERE_REFERENCES)}|(?:내|중)(?=\Z|[\s에,.)]))")
-_SECTION = re.compile(f"[{SECTION_MARKS}]")
-_FORMS = {
-    "full": r"(?<!\d)(20\d\d)\s*[.\-/년]\s*(\d\d?)\s*[.\-/월]\s*(\d\d?)(?!\d)",
-    "short": rf"[{APOSTROPHES}](\d\d)\s*[.\-/년]\s*(\d\d?)\s*[.\-/월]\s*(\d\d?)(?!\d)",
-    "waved": rf"(?<=[{WAVES}])()\s*(\d\d?)\s*\.\s*(\d\d?)(?![\d:])",
-    "named": r"(?<![\d.])()(\d\d?)\s*월\s*(\d\d?)\s*일",
-    "dotted": rf"(?<![\d.])()(\d\d?)\s*\.\s*(\d\d?)\s*\.?\s*(?=\(\s*[{WEEKDAYS}])",
-}
-_ANY = re.compile("|".join(_FORMS.values()))
-_WEEKDAY = re.compile(rf"\s*\.?\s*\(\s*([{WEEKDAYS}])")
-_JOINS, _OPENS = re.compile(rf"[{WAVES}–—]|부터|\s-\s"), re.compile(rf"[^{WAVES}]{{0,25}}?(?:[{WAVES}]|부터)")
-
-
-class Found(NamedTuple):
-    begin: int
-    end: int
-    day: dt.date
-
-
-def _day(year: int, month: int, day: int) -> dt.date | None:
-    try:
-        return dt.date(year, month, day)
-    except ValueError:
-        return None
-
-
-def _in_some_year(month: int, day: int, weekday: str | None, before: dt.date | None, ref: dt.date) -> dt.date | None:
-    """A day and month in the year that fits best."""
-    year = (before or ref).year
-    this, following, last = (_day(y, month, day) for y in (year, year + 1, year - 1))
-    if weekday:
-        for d in (this, following, last):
-            if d and WEEKDAYS[d.weekday()] == weekday:
-                return d
-    if not this and not following:
-        return None
-    too_early = this and (this < before if before else this < ref - dt.timedelta(days=183))
-    if before:
-        return this if this and not too_early else following or this
-    return following if too_early and following else this or following
-
-
-def dates_in(window: str, ref: dt.date) -> Iterator[Found]:
-    before = None
-    for m in _ANY.finditer(window):
-        year, month, day = (g for g in m.groups() if g is not None)
-        named = _WEEKDAY.match(window, m.end())
-        if year:
-            d = _day(int(year) + (2000 if len(year) == 2 else 0), int(month), int(day))
-        else:
-            d = _in_some_year(int(month), int(day), named and named[1], before, ref)
-        if d:
-            yield Found(m.start(), m.end(), d)
-            before = d
+# The phrases, marks and spellings of dates in notices. A phrase before a word of mere reference opens nothing.
+TOKEN = re.compile(
+    r"""
+    (?P<opener> (?> (?:접수|신청|공모|모집|제출|등록) \s* (?:기간|기한|마감\s*(?:일시|일자|일|기한|시한)|마감) | 마감\s*(?:일시|일자|일|기한|시한) )
+        (?! \s* (?: 기준|현재|전일|전날|전까지|이전|이후|으로부터|로부터|부터|임박|연장|까지|동안 | (?:내|중)(?=\Z|[\s에,.)]) ) ) )
+    | (?P<section> [□■▣◆◇] )
+    | (?P<date>
+        (?: (?<!\d) 20\d\d | [’'‘`´] \d\d ) \s* [.\-/년] \s* \d\d? \s* [.\-/월] \s* \d\d? (?!\d)
+        | (?<=[~～∼〜]) \s* \d\d? \s* \. \s* \d\d? (?![\d:])
+        | (?<![\d.]) \d\d? \s* 월 \s* \d\d? \s* 일
+        | (?<![\d.]) \d\d? \s* \. \s* \d\d? \s* \.? \s* (?=\(\s*[월화수목금토일]) )
+        (?: (?= \s* \.? \s* \( \s* (?P<weekday>[월화수목금토일]) ) | )
+    | (?P<wave> [~～∼〜] ) | (?P<dash> [–—] | \s-\s ) | (?P<since> 부터 )
+    """,
+    re.VERBOSE,
+)
+WEEKDAYS, WAVES = "월화수목금토일", ("~", "～", "∼", "〜")
+#: Characters after a phrase in which its dates stand, and after a date in which a mark makes it the begin of a period.
+REACH, OPEN_REACH = 160, 25
+
+
+def _dated(token: re.Match, before: dt.date | None, ref: dt.date) -> dt.date | None:
+    """The day a date token tells. A year left out is the one that fits the weekday, else the first not too early."""
+    *year, month, day = map(int, re.findall(r"\d+", token["date"]))
+    base = year[0] % 100 + 2000 if year else (before or ref).year
+    possible = []
+    for y in (base,) if year else (base, base + 1, base - 1):
+        try:
+            possible.append(dt.date(y, month, day))
+        except ValueError:  # no such day in that year
+            continue
+    fitting = [d for d in possible if not year and WEEKDAYS[d.weekday()] == token["weekday"]]
+    ahead = [d for d in possible if d.year >= base]
+    floor = before or ref - dt.timedelta(days=183)
+    in_time = [d for d in ahead if year or d >= floor]
+    return next(iter(fitting + in_time + ahead), None)
+
+
+def _told(tokens: list[re.Match], begin: int, ref: dt.date) -> tuple[bool, dt.date | None]:
+    """Whether there is a date among the tokens after a phrase that ends at `begin`, and the deadline they tell."""
+    first: re.Match | None = None
+    last, first_day, ranged, opened = None, None, False, False
+    for t in tokens:
+        if t["section"] or t.end() > begin + REACH:
+            break
+        if t["date"]:
+            day = _dated(t, last, ref)
+            if day is None:
+                continue
+            before = t.string[begin : t.start()].rstrip()
+            if ranged if first else before.endswith(WAVES):
+                return True, day
+            first, first_day = first or t, first_day or day
+            last, ranged = day, False
+        elif t["wave"] or t["dash"] or t["since"]:
+            ranged = True
+            opened |= first is not None and not t["dash"] and t.start() - first.end() <= OPEN_REACH
+    return first is not None, None if opened else first_day
 
 
 def deadline_in(text: str | None, ref: dt.date) -> dt.datetime | None:
     """The last second of the day of the deadline; null if there is none or the period has no end."""
-    flat = re.sub(r"\s+", " ", text or "")
-    for opener in _OPENER.finditer(flat):
-        if _REFERENCE.match(flat, opener.end()):
-            continue
-        window = _SECTION.split(flat[opener.end() : opener.end() + WINDOW], maxsplit=1)[0]
-        found = list(dates_in(window, ref))
-        if not found:
-            continue
-        gaps = [window[a.end : b.begin] for a, b in zip([Found(0, 0, ref), *found], found, strict=False)]
-        if window[: found[0].begin].rstrip()[-1:] in tuple(WAVES):
-            day = found[0].day
-        else:
-            day = next((f.day for f, gap in zip(found[1:], gaps[1:], strict=True) if _JOINS.search(gap)), None)
-        if day is None and not _OPENS.match(window[found[0].end :]):
-            day = found[0].day
-        return day and dt.datetime.combine(day, dt.time(23, 59, 59))
+    tokens = list(TOKEN.finditer(re.sub(r"\s+", " ", text or "")))
+    for k, t in enumerate(tokens):
+        if t["opener"]:
+            found, day = _told(tokens[k + 1 :], t.end(), ref)
+            if found:
+                return day and dt.datetime.combine(day, dt.time(23, 59, 59))
     return None
 
 

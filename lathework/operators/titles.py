@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.functions.titles import RATIO, comparable, likeness, title_parts
+from lathework.functions.titles import RATIO, comparable, likeness, with_title_parts
 from lathework.operators.lineage import components, cut
 
 
@@ -31,8 +31,10 @@ def match_titles(rows: DataFrame, row_id: str, title: str, index: DataFrame, key
     Equal keys come first (the entry first in `order`), then the highest ratio, the shorter core, the order. Keys have to
     be unique in the index, and so has `order`. Empty and null titles match nothing.
     """
-    wanted = cut(rows.select(row_id, F.struct(F.col(row_id).alias("id"), title_parts(title).alias("key")).alias("b")).where("b.key.canon <> ''"))
-    held = cut(index.select(F.struct(F.col(key).alias("id"), F.col(order).alias("order"), title_parts(index_title).alias("key")).alias("a")).where("a.key.canon <> ''"))
+    wanted = with_title_parts(rows.select(row_id, F.col(title).alias("_title")), "_title", "_parts")
+    wanted = cut(wanted.select(row_id, F.struct(F.col(row_id).alias("id"), F.col("_parts").alias("key")).alias("b")).where("b.key.canon <> ''"))
+    held = with_title_parts(index.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(index_title).alias("_title")), "_title", "_parts")
+    held = cut(held.select(F.struct("id", "order", F.col("_parts").alias("key")).alias("a")).where("a.key.canon <> ''"))
     first = held.groupBy(F.col("a.key.canon").alias("canon")).agg(F.min_by("a.id", "a.order").alias(key))
     exact = wanted.join(first, F.col("b.key.canon") == F.col("canon")).select(row_id, key, F.lit(1.0).alias("ratio"))
     rest = wanted.join(first, F.col("b.key.canon") == F.col("canon"), "left_anti").select("b")
@@ -48,7 +50,8 @@ def deduplicate(rows: DataFrame, title: str, source: str | None, order: str, exp
     row, without a source). What is kept gives way to a later row if it has expired and that has not. The second pass
     depends on the order within linked rows alone, so it runs by linked groups.
     """
-    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.col(order).alias("at"), F.coalesce(expired, F.lit(False)).alias("dead"), title_parts(title).alias("key"))
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.col(order).alias("at"), F.coalesce(expired, F.lit(False)).alias("dead"), F.col(title).alias("title"))
+    keyed = with_title_parts(keyed, "title").drop("title")
     same = F.when(F.col("key.canon") != "", F.col("key.canon")).otherwise(F.concat(F.lit(" "), F.col("at").cast("string")))
     first = keyed.groupBy(same.alias("same")).agg(F.min_by(F.struct("row", "dead", "key"), F.struct("dead", "at")).alias("kept"), F.min("at").alias("position"))
     kept = cut(first.select("position", "kept.*"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.functions import dates
-from lathework.functions.titles import canon_title
+from lathework.functions.titles import canon_title, compatible
 from lathework.operators import filters, ranking, titles, verdicts
 from lathework.operators.lineage import cut
 
@@ -52,7 +52,8 @@ def monitor(rows: DataFrame, index: DataFrame, seen: DataFrame, as_of: Column, s
     active = index.where((F.col("deadline").isNull() | (F.col("deadline").cast("date") >= day)) & (F.coalesce("title", F.lit("")) != ""))
     unknown = stays.where("i_key IS NULL")
     twins = titles.match_titles(unknown, "key", "title", active.withColumnsRenamed({"key": "m_key", "title": "m_title"}), "m_key", "m_title", "m_key").drop("ratio")
-    fresh = unknown.join(twins, "key", "left_anti").withColumn("canon", canon_title("title"))
+    fresh = unknown.join(twins, "key", "left_anti").withColumn("normal", compatible("title"))
+    fresh = fresh.withColumn("canon", canon_title(F.col("title"), F.col("normal"))).drop("normal")
     rejected = seen.where(F.col("until") > as_of.cast("timestamp_ntz")).select("key", "canon").distinct()
     open_ = cut(fresh.join(rejected, ["key", "canon"], "left_anti"))
     taken = cut(ranking.top(open_, [F.col("posted_date").desc_nulls_last(), F.col("deadline").asc_nulls_last(), F.col("ord")], most))

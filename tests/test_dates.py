@@ -24,6 +24,11 @@ CASES = [
     ("신청기간 □ 발표일 2031.7.1 ■ 접수기한 2031.8.1", (2031, 8, 1)),
     ("등록마감일시 2031년 9월 3일", (2031, 9, 3)),
     ("마감일 2031.02.30", None),
+    ("신청기간 4.1(화) - 4.10(목)", (2031, 4, 10)),
+    ("신청기간 4.1(화)부터 상시", None),
+    ("공고기한 없음 모집기간 5월 2일, 6월 9일", (2031, 5, 2)),
+    ("접수기간 : 1. 3.(토) ~ 2. 1.", (2032, 2, 1)),
+    ("접수기간 연장 안내: 접수기간 '31. 6. 1", (2031, 6, 1)),
     ("아무 말", None),
     ("", None),
     (None, None),
