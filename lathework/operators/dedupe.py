@@ -1,13 +1,14 @@
-"""Removal of repeats: by key with priorities, by votes, and by likeness in bounded groups."""
+"""Removal of repeats: by key with priorities, by votes, and by likeness."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lathework.functions.titles import with_title_parts
+from lathework.operators.lineage import cut, first_come
+from lathework.operators.titles import alike_pairs
+
 
 def best_of_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by `order`, which has to tell all rows apart.
@@ -38,27 +39,19 @@ def drop_by_majority(rows: DataFrame, group: str, flagged: Column) -> DataFrame:
     return rows.join(votes.where("hits > 0"), F.col(group).eqNullSafe(F.col("g")), "left_anti")
 
 
-def alike(a: str, b: str, least: float) -> bool:
-    """Whether two strings are alike by the ratio of what they share in order."""
-    if not a or not b or 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-        return False
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= least and m.ratio() >= least
-
+def greedy_alike(rows: DataFrame, row_id: str, title: str, source: str, least: float = 0.9) -> DataFrame:
+    """In order of `row_id`, the first row of each title, less those that are alike to a kept row of another source.
 
-def greedy_alike(rows: DataFrame, bucket: list[str], key: str, order: str, source: str, least: float = 0.9) -> DataFrame:
-    """Keeps, in order, what is not alike to a kept row of another source in its bucket.
-
-    Rows of different buckets are never compared, so choose a bucket (the digits of a title, say) that bounds the group.
+    Titles are told apart and compared as by `titles.alike_pairs`: all that can be alike meet, by their numbers and by
+    pairs of letters. The order is settled by rounds over the links, so no group of alike titles meets in one task. Rows
+    whose title is empty or null stay all.
     """
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str]] = []
-        stays = []
-        for k, s in zip(t.sort_values(order)[key], t.sort_values(order)[source], strict=True):
-            stays.append(not any(o != s and alike(k, x, least) for x, o in kept))
-            if stays[-1]:
-                kept.append((k, s))
-        return t.sort_values(order)[stays]
-
-    return rows.groupBy(*bucket).applyInPandas(run, rows.schema)
+    named = rows.select(F.col(row_id).alias("id"), F.col(source).alias("source"), F.col(title).alias("title"))
+    keyed = cut(with_title_parts(named, "title", least=least).drop("title"))
+    first = keyed.where("key.canon <> ''").groupBy("key.canon").agg(F.min_by(F.struct("id", "source", "key"), "id").alias("side"))
+    side = cut(first.select("side"))
+    other = (F.col("a.source") != F.col("b.source")) & (F.col("a.id") < F.col("b.id"))
+    pairs = cut(alike_pairs(side.select(F.col("side").alias("a")), side.select(F.col("side").alias("b")), other, least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    gone = first_come(pairs, "a", "b").where("NOT stays").select("id")
+    stay = side.select("side.id").join(gone, "id", "left_anti").union(keyed.where("key.canon = ''").select("id"))
+    return rows.join(stay.withColumnRenamed("id", "kept_id"), F.col(row_id) == F.col("kept_id"), "left_semi")

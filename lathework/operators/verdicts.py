@@ -119,24 +119,48 @@ TRADES = (
 INFRASTRUCTURE = r"데이터\s?센터|AIDC|AI\s?DC(?![A-Za-z])|발전소|(?i:data cent(?:er|re)s?|power plants?)"
 NOISE = r"특징주|목표가|주가|(?i:\bETFs?\b|\bstocks?\b|\bshares\b|\bNFTs?\b|European Political Community|Edgewell|EPC Group|Canadian dollar|floor price)"
 RETRIEVAL = r"(?i)" + _ALONE.format("RAG") + r"|retrieval[- ]augmented|검색\s?증강"
-#: Titles that say nothing, and pages that ask for a proof of being human.
+# Titles that say nothing, and pages that ask for a proof of being human.
 EMPTY_TITLE = r"(?i)^(?:untitled|속보서비스|.{0,3})$"
 CHALLENGE = r"(?i)Incapsula incident|Request unsuccessful|Just a moment|Checking your browser|Enable JavaScript and cookies|Attention Required|Access Denied|captcha|비정상적인 접근|자동입력 방지"
 
 
+# What a text in small letters has at least one of if a pattern fits it.
+_HEADS = {
+    AI_WORDS: ["ai", "a.i.", "ax", "llm", "gpt", "rag"],
+    AI_PHRASES: ["인공지능", "생성형", "에이전트", "파운데이션", "거대언어", "머신러닝", "딥러닝", "artificial", "generative", "agentic", "retrieval", "machine learning", "large language model"],
+    DRAWINGS: ["도면", "설계도", "p&id", "building information model", "drawing", "bim"],
+    TRADES: [
+        "건설", "건축", "플랜트", "엔지니어링", "시공", "토목", "디지털", "이앤씨", "e&c", "e&a", "epc", "aec", "cad",
+        "construction", "contractor", "homebuilder", "architect", "built environment", "digital twin", "blueprint",
+    ],
+    INFRASTRUCTURE: ["데이터", "ai", "발전소", "data cent", "power plant"],
+    NOISE: ["특징주", "목표가", "주가", "etf", "stocks", "stock", "shares", "nft", "european political community", "edgewell", "epc group", "canadian dollar", "floor price"],
+    RETRIEVAL: ["rag", "retrieval", "검색"],
+}
+
+
+def _fits(t: Column, pattern: str) -> Column:
+    """Whether a pattern fits; plain searches for its heads spare most texts the pattern."""
+    return reduce(Column.__or__, [F.contains(t["low"], F.lit(h)) for h in _HEADS[pattern]]) & t["text"].rlike(pattern)
+
+
 def triage(title: Column, snippet: Column) -> Column:
-    """(outcome, score, theme) of an article by rules: main, infra or rejected."""
+    """(outcome, score, theme) of an article by rules: main, infra or rejected. What a rule does not need is not looked for."""
     text = F.concat_ws(" ", title, snippet)
-    ai, strong, trade = text.rlike(AI_WORDS) | text.rlike(AI_PHRASES), text.rlike(DRAWINGS), text.rlike(TRADES)
     say = lambda outcome, score, theme: F.struct(F.lit(outcome).alias("outcome"), F.lit(score).cast("double").alias("score"), F.lit(theme).cast("string").alias("theme"))
-    return (
-        F.when(text.rlike(NOISE) & ~strong, say("rejected", None, None))
-        .when(ai & strong, say("main", 0.8, "drawing_bim"))
-        .when(ai & trade & text.rlike(INFRASTRUCTURE), say("infra", 0.4, None))
-        .when(ai & trade & text.rlike(RETRIEVAL), say("main", 0.6, "aec_rag"))
-        .when(ai & trade, say("main", 0.6, "aec_ai"))
-        .otherwise(say("rejected", None, None))
-    )
+
+    def judged(t: Column) -> Column:
+        ai, strong, trade = _fits(t, AI_WORDS) | _fits(t, AI_PHRASES), _fits(t, DRAWINGS), _fits(t, TRADES)
+        traded = (
+            F.when(_fits(t, INFRASTRUCTURE), say("infra", 0.4, None))
+            .when(_fits(t, RETRIEVAL), say("main", 0.6, "aec_rag"))
+            .otherwise(say("main", 0.6, "aec_ai"))
+        )
+        # Without AI, and with noise but no drawings, all is rejected.
+        weak = F.when(_fits(t, NOISE), say("rejected", None, None)).when(trade, traded).otherwise(say("rejected", None, None))
+        return F.when(~ai, say("rejected", None, None)).when(strong, say("main", 0.8, "drawing_bim")).otherwise(weak)
+
+    return F.element_at(F.transform(F.array(F.struct(text.alias("text"), F.lower(text).alias("low"))), judged), 1)
 
 
 def right_language(title: Column, korean: Column) -> Column:
