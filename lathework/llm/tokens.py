@@ -2,7 +2,8 @@ r"""Token ids of many texts by the tokenizers library, with each distinct word e
 
 The two public vocabularies cut a text into pieces and encode each piece alone, so a text's ids are its pieces' ids in a
 row, and a text may be cut wherever a piece begins. In `word_bpe_49k` no piece holds white space: any blank will do, but
-for U+001C to U+001F, which Python counts as blanks and the vocabulary has tokens for. In `byte_bpe_50k` a blank is the
+for U+001C to U+001F, which Python counts as blanks and the vocabulary has tokens for; the last id of each piece says so,
+so that plain words can be encoded many at once. In `byte_bpe_50k` a blank is the
 first character of the piece after it and a line feed begins a piece, so texts are cut before both; only in runs of three
 or more blanks, or two at the end or before an added token, a piece can hold a later blank. Such texts, and all texts under
 another vocabulary, go to the library whole.
@@ -19,6 +20,11 @@ import numpy as np
 # How the vocabularies treat blanks.
 JOINED, APART = "byte_bpe_50k.json", "word_bpe_49k.json"
 _SEPARATORS, _BLANKS = "\x1c\x1d\x1e\x1f", re.compile(r"[^\S\x1c-\x1f]+")
+# Fixed value: in `word_bpe_49k`, a word of Latin letters is one piece, and the marks behind it another. (U+0130 is left out, as
+# in small letters it is two characters.)
+_PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+([!-/:-@\\[-`{-~]+)?")
+#: Plain words that the library encodes as one text, and characters of texts whose new words are learnt together.
+TOGETHER, GROUP = 64, 1 << 18
 #: Words that a worker remembers, and their characters; beyond, it forgets all and starts anew.
 WORDS, CHARACTERS = 1_000_000, 16_000_000
 
@@ -57,6 +63,9 @@ class Encoder:
         ends = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.long_runs = re.compile(rf"\s\s(?:{'|'.join([r'\s', r'\Z', *ends])})")
         self.size = self.tokenizer.get_vocab_size()
+        if self.kind == APART:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -64,12 +73,36 @@ class Encoder:
         self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.known = 0
 
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, new: list[str]) -> list[list[int]]:
+        """The ids of words, plain ones many in a call: their pieces are known in number, and ids that end a piece are too."""
+        made: list[list[int] | None] = [None] * len(new)
+        plain, pieces = [], []
+        for i, m in enumerate(map(_PLAIN.fullmatch, new)):
+            if m:
+                plain.append(i)
+                pieces.append(1 if m[1] is None else 2)
+        joined = ["".join(new[i] for i in plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
+        ids = [i for part in self._batch(joined) for i in part]
+        ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(pieces, dtype=np.int64)
+        if len(ends) == (last[-1] if len(last) else 0):  # as the pattern promises; else all go one by one
+            at = 0
+            for i, end in zip(plain, (ends[last - 1] + 1).tolist(), strict=True):
+                made[i] = ids[at:end]
+                at = end
+        rest = [i for i, m in enumerate(made) if m is None]
+        for i, own in zip(rest, self._batch([new[i] for i in rest]), strict=True):
+            made[i] = own
+        return made
+
     def _learn(self) -> None:
         """Encodes words that have a number but no ids yet."""
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        made = self._together(new) if self.kind == APART else self._batch(new)
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         first, n = int(self.at[self.known]), self.known + len(new)
         while len(self.at) <= n:
@@ -80,31 +113,44 @@ class Encoder:
         self.ids[first : self.at[n]] = [i for m in made for i in m]
         self.known = n
 
-    def _by_words(self, words: list) -> np.ndarray:
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        self._learn()
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words by their numbers."""
         begin, size = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
         last = np.cumsum(size)
         total = int(last[-1]) if len(last) else 0
         # The ids of one word are neighbours: step on by one, and jump where the next word begins.
         return self.ids[np.arange(total) + np.repeat(begin - (last - size), size)]
 
+    def _words(self, text: str) -> list | None:
+        """The words of a text; None if it has to go to the library whole."""
+        if self.kind == APART:
+            apart = any(c in text for c in _SEPARATORS)
+            return [w for w in _BLANKS.split(text) if w] if apart else text.split()
+        if self.kind == JOINED and not self.long_runs.search(text):
+            words: list = text.replace("\n", " \n").split(" ")
+            words[0] = (words[0],)
+            return words
+        return None
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit; none for null."""
+        """The ids of each text, as unsigned 32-bit; none for null. New words of some texts in a row are learnt together."""
+        begin, size = 0, 0
+        for k, text in enumerate([*texts, None]):
+            size += len(text or "")
+            if k == len(texts) or size > GROUP:
+                yield from self._group(texts[begin : k + 1])
+                begin, size = k + 1, 0
+
+    def _group(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.numbers) > WORDS or self.numbers.characters > CHARACTERS:
+            self._forget()
+        numbered: list[np.ndarray | None] = []
         for text in texts:
-            if len(self.numbers) > WORDS or self.numbers.characters > CHARACTERS:
-                self._forget()
-            if not text:
-                yield np.zeros(0, np.uint32)
-            elif self.kind == APART:
-                apart = any(c in text for c in _SEPARATORS)
-                yield self._by_words([w for w in _BLANKS.split(text) if w] if apart else text.split())
-            elif self.kind == JOINED and not self.long_runs.search(text):
-                words: list = text.replace("\n", " \n").split(" ")
-                words[0] = (words[0],)
-                yield self._by_words(words)
-            else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            words = self._words(text) if text else []
+            numbered.append(None if words is None else np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self._learn()
+        whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return [whole(text) if n is None else self._gathered(n) for text, n in zip(texts, numbered, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -113,3 +113,12 @@ def test_many_turns(spark):
     r = chat.chat_digest(spark.createDataFrame(table, "conv_id bigint, turn bigint, role string, text string")).where("conv_id = 1").collect()[0]
     loss = "".join(t for _, _, role, t in table if role == "assistant")
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (200, len(loss), brute.sha(loss))
+
+
+def test_plain_words_together():
+    """Words of every Latin letter and mark, with what may stand by them, as the library has them."""
+    letters = [chr(c) for c in range(0xAA, 0x260)]
+    words = [f"{a}{x}{b}" for x in letters for a in ("", "it") for b in ("", "'", ",", "_", "s")]
+    marks = [f"{a}{m}{b}" for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for a in ("", "don", "\u0130x") for b in ("", "t", "ll", "re", "s")]
+    texts = [" ".join(words), " ".join(marks), *words[::7], "\u0130STANBUL \u0130, e\u0301t\u00e9 \u017f 2nd", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}." for i in range(600))]
+    assert same_ids(STORED, texts) == []
