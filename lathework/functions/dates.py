@@ -40,7 +40,7 @@ def expiry(at: Column, key: Column, days: int = 14, jitter: int = 7) -> Column:
 
 # How sources write days.
 DAY_FORMATS = ["yyyy-M-d", "yyyy.M.d", "yyyy/M/d", "yyyyMMdd", "yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy.M.d HH:mm", "yyyy-M-d'T'HH:mm:ss"]
-ENGLISH_FORMATS = ["MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, dd MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z"]
+ENGLISH_FORMATS = ["MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]
 WEEKDAYS = "일월화수목금토"
 
 
@@ -56,7 +56,7 @@ def source_date(text: Column) -> Column:
 
 
 def english_date(text: Column) -> Column:
-    return first_date(F.trim(text), ENGLISH_FORMATS)
+    return first_date(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), ENGLISH_FORMATS)
 
 
 def d_day_from_label(label: Column) -> Column:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lathework import record_queries  # noqa: F401, it registers its queries
+from lathework import record_queries, scan_queries  # noqa: F401, they register their queries
 from lathework.functions import text
 from lathework.operators import lineage
 from lathework.queries import ORACLE_SQL, QUERIES, flagship, table
