@@ -36,7 +36,7 @@ WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_split("coalesc
 x AS MATERIALIZED (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
 twice AS (SELECT i, doc_id FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM x) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
-f AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(w) AS v FROM d) GROUP BY doc_id, v) GROUP BY doc_id),
+f AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(w) AS v FROM d) WHERE length(v) > 1 GROUP BY doc_id, v) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         [y FOR y IN string_split(t, chr(10)) IF regexp_matches(y, '[^\x20\x09-\x0D]')] AS lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(f.n, 0) AS top_word
       FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id),

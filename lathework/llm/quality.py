@@ -87,7 +87,7 @@ def n_repeat_words(text: Column) -> Column:
 
 
 def top_word(text: Column) -> Column:
-    """How often the most frequent word occurs: the longest run of equal ones among the sorted words."""
+    """How often the most frequent word of more than one character occurs: the longest run of equal ones among the sorted words."""
 
     def longest(w: Column) -> Column:
         new = lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
@@ -95,7 +95,7 @@ def top_word(text: Column) -> Column:
         gaps = let(starts, lambda s: F.transform(s, lambda x, k: F.coalesce(F.get(s, k + 1), F.size(w)) - x))
         return F.when(F.size(w) > 0, F.array_max(gaps)).otherwise(F.lit(0))
 
-    return let(F.sort_array(word_array(text)), longest).cast("long")
+    return let(F.sort_array(F.filter(word_array(text), lambda w: F.length(w) > 1)), longest).cast("long")
 
 
 @dataclass(frozen=True)
