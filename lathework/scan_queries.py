@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lathework.functions import answers, dates, records, titles
+from lathework.functions import answers, dates, records, searches, titles
 from lathework.operators import scans, verdicts
 from lathework.queries import AS_OF, _as_of, query
 
@@ -226,3 +226,15 @@ def publish_windows(read):
         "o_orderkey", verdicts.in_window(at, now - F.expr("INTERVAL 30 DAY"), now).alias("recent"), dates.due_label(F.when(F.col("o_orderkey") % 5 != 0, at.cast("date")), day).alias("due"),
         F.greatest(F.lit(0), F.least(late, F.lit(60))).alias("capped"),
     )
+
+
+@query("""SELECT s_suppkey, t || ' when:' || (s_suppkey % 9 + 1) || 'd' AS search, n_name || ' · ' || s_name || ' × news' || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '  (제외: stock)' ELSE '  (제외: stock, two words)' END AS readable
+FROM (SELECT *, '(intitle:"' || n_name || '" OR ' || s_name || ') intitle:news' || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' -stock' ELSE ' -intitle:stock -"two words"' END AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def searches_told(read):
+    """Suppliers searched for by nation or name, in all outlets, and how a reader is told of it."""
+    rows = read("supplier").join(F.broadcast(read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey") % 3
+    out = F.when(k == 0, "").when(k == 1, " -stock").otherwise(' -intitle:stock -"two words"')
+    terms = F.concat(F.lit('(intitle:"'), F.col("n_name"), F.lit('" OR '), F.col("s_name"), F.lit(") intitle:news"), out)
+    rows = rows.select("s_suppkey", searches.open_search(terms, F.col("s_suppkey") % 9 + 1).alias("search"))
+    return rows.withColumn("readable", searches.readable_search(F.col("search")))
