@@ -238,3 +238,24 @@ def searches_told(read):
     terms = F.concat(F.lit('(intitle:"'), F.col("n_name"), F.lit('" OR '), F.col("s_name"), F.lit(") intitle:news"), out)
     rows = rows.select("s_suppkey", searches.open_search(terms, F.col("s_suppkey") % 9 + 1).alias("search"))
     return rows.withColumn("readable", searches.readable_search(F.col("search")))
+
+
+# Titles of announcements for `announcement_verdicts`: places in front, matters, ends, and departments.
+_PLACES = ["", "[부산] ", "[경기] ", "비수도권 ", "광주 "]
+_MATTERS = ["인공지능 바우처", "제조 실증", "농업 기술개발", "제조 데이터", "농업 소프트웨어", "관광 마을", "나들이"]
+_ENDS = [" 모집", " 선정 결과 안내", " 입법예고"]
+_DEPARTMENTS = ["", "부산광역시", "경기도", "과학기술정보통신부"]
+
+
+@query("""SELECT doc_id, reason, CASE reason WHEN 'region' THEN region WHEN 'over' THEN over WHEN 'no_keyword' THEN '' ELSE coalesce(bad, good) END AS detail, bad IS NOT NULL AND reason IS NULL AS overridden FROM (
+SELECT *, CASE WHEN region IS NOT NULL THEN 'region' WHEN over IS NOT NULL THEN 'over' WHEN m IN (2, 5) THEN 'unwanted' WHEN m = 1 THEN 'mildly_unwanted' WHEN m = 6 THEN 'no_keyword' END AS reason FROM (
+SELECT doc_id, m, CASE d WHEN 1 THEN '부산광역시' WHEN 2 THEN NULL ELSE CASE p WHEN 1 THEN '부산' WHEN 3 THEN '비수도권' WHEN 4 THEN '광주' END END AS region, CASE e WHEN 1 THEN '선정 결과' WHEN 2 THEN '입법예고' END AS over,
+CASE m WHEN 1 THEN '제조' WHEN 2 THEN '농업' WHEN 3 THEN '제조' WHEN 4 THEN '농업' WHEN 5 THEN '관광' END AS bad, CASE m WHEN 0 THEN '인공지능' WHEN 2 THEN '기술개발' WHEN 3 THEN '데이터' WHEN 4 THEN '소프트웨어' END AS good
+FROM (SELECT doc_id, doc_id % 5 AS p, (doc_id // 5) % 7 AS m, (doc_id // 35) % 3 AS e, (doc_id // 105) % 4 AS d FROM documents)))""")
+def announcement_verdicts(read):
+    """Documents as announcements: each is judged by place, by what has ended, by unwanted matters and by keywords."""
+    n = F.col("doc_id")
+    of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    title = F.concat(of(_PLACES, n), of(_MATTERS, F.floor(n / 5)), of(_ENDS, F.floor(n / 35)))
+    rows = read("documents").select("doc_id", title.alias("title"), F.lit("").alias("category"), of(_DEPARTMENTS, F.floor(n / 105)).alias("department"))
+    return verdicts.with_verdict(rows).select("doc_id", "reason", "detail", "overridden")
