@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import chat, decontam, lm, minhash, oracles, packing, pii, quality, sharding, store, suffix
+from lathework.llm import chat, decontam, lm, minhash, oracles, packing, pii, quality, runs, sharding, store, suffix
 from lathework.llm.common import new_path, table
 
 
@@ -61,7 +61,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op9_suffix, op10_decontamination)}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), keep=False, edit=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op9_suffix, op10_decontamination, op13_runs)
+}
 
 _WORDS = r"""[w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w <> '']"""
 
