@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import align, chat, decontam, lm, minhash, oracles, packing, pii, quality, runs, sharding, store, suffix
+from lathework.llm import align, chat, decontam, fingerprints, lm, minhash, oracles, packing, pii, quality, runs, sharding, store, suffix
 from lathework.llm.common import new_path, table
 
 
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), keep=False)
 
@@ -70,7 +74,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op9_suffix, op10_decontamination, op12_align, op13_runs)
+    f.__name__: f for f in (op1_lm, op2_packing, op3_pii, op4_chat, op5_minhash, op6_quality, op7_sharding, op8_store, op9_suffix, op10_decontamination, op11_fingerprints, op12_align, op13_runs)
 }
 
 _WORDS = r"""[w for w in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if w <> '']"""
