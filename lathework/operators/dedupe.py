@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.functions.titles import with_title_parts
-from lathework.operators.lineage import cut, first_come
+from lathework.operators import characters
+from lathework.operators.lineage import cut
+from lathework.operators.sequence import first_come
 from lathework.operators.titles import alike_pairs
 
 
@@ -43,7 +45,7 @@ def greedy_alike(rows: DataFrame, row_id: str, title: str, source: str, least: f
     """In order of `row_id`, the first row of each title, less those that are alike to a kept row of another source.
 
     Titles are told apart and compared as by `titles.alike_pairs`: all that can be alike meet, by their numbers and by
-    pairs of letters. The order is settled by rounds over the links, so no group of alike titles meets in one task. Rows
+    pairs of letters. The order is settled over the links by segments, so no group of alike titles meets in one task. Rows
     whose title is empty or null stay all.
     """
     named = rows.select(F.col(row_id).alias("id"), F.col(source).alias("source"), F.col(title).alias("title"))
@@ -55,3 +57,17 @@ def greedy_alike(rows: DataFrame, row_id: str, title: str, source: str, least: f
     gone = first_come(pairs, "a", "b").where("NOT stays").select("id")
     stay = side.select("side.id").join(gone, "id", "left_anti").union(keyed.where("key.canon = ''").select("id"))
     return rows.join(stay.withColumnRenamed("id", "kept_id"), F.col(row_id) == F.col("kept_id"), "left_semi")
+
+
+def distinct_articles(rows: DataFrame, order: str, title: str, within: Column, least: float = 0.6) -> DataFrame:
+    """In `order`, the first row of each title, less those of a group that are alike to an earlier row of the group that stays.
+
+    Alike are titles with an in-order ratio of `least` or more, the earlier one first. `within` tells the rows of the group;
+    all others are held against nothing but equal titles. Null titles are empty ones. `order` has to be unique.
+    """
+    keyed = rows.select(F.col(order).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.coalesce(within, F.lit(False)).alias("within"))
+    first = cut(keyed.groupBy("title").agg(F.min_by(F.struct("id", "within"), "id").alias("f")).select("f.id", "title", "f.within"))
+    pairs = characters.alike(first.where("within").select("id", "title"), "title", least)
+    gone = first_come(pairs, "a", "b").where("NOT stays").select("id")
+    stay = first.select("id").join(gone, "id", "left_anti").withColumnRenamed("id", "kept_id")
+    return rows.join(stay, F.col(order) == F.col("kept_id"), "left_semi")

@@ -37,22 +37,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if moved.where("next <> component").isEmpty():
             return names
 
-
-def first_come(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, stays) for every end of a link, `a` being earlier than `b`: in order, a row stays if no row that stays links to it.
-
-    Each round settles the rows that no link points to any more, and all that these point to; what is left of the links
-    is stored. No group of linked rows meets in one task.
-    """
-    left = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    ends = lambda rows: rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct()
-    settled = left.select(F.col("a").alias("id"), F.lit(True).alias("stays")).limit(0)
-    while not left.isEmpty():
-        free = cut(left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")), "id", "left_anti"))
-        gone = cut(left.join(free, F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct())
-        still = cut(left.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
-        # What has no link left, and hasn't gone, had earlier neighbours that are gone, or none.
-        stay = cut(ends(left).join(gone, "id", "left_anti").join(ends(still), "id", "left_anti"))
-        settled = settled.union(gone.withColumn("stays", F.lit(False))).union(stay.withColumn("stays", F.lit(True)))
-        left = still
-    return settled

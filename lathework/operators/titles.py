@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.functions.titles import RATIO, comparable, likeness, with_title_parts
-from lathework.operators.lineage import components, cut
+from lathework.operators.lineage import cut
+from lathework.operators.sequence import folded
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, where: Column | None = None, least: float = RATIO) -> DataFrame:
@@ -48,7 +48,7 @@ def deduplicate(rows: DataFrame, title: str, source: str | None, order: str, exp
 
     Rows of one key fold into the first, then, in order, each row into the most alike kept row of another source (of any
     row, without a source). What is kept gives way to a later row if it has expired and that has not. The second pass
-    depends on the order within linked rows alone, so it runs by linked groups.
+    depends on the order within linked rows alone, so it runs by bounded segments of linked groups.
     """
     keyed = rows.select(F.struct(*rows.columns).alias("row"), F.col(order).alias("at"), F.coalesce(expired, F.lit(False)).alias("dead"), F.col(title).alias("title"))
     keyed = with_title_parts(keyed, "title").drop("title")
@@ -61,23 +61,6 @@ def deduplicate(rows: DataFrame, title: str, source: str | None, order: str, exp
     pairs = cut(alike_pairs(kept.select(side.alias("a")), kept.select(side.alias("b")), other).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.dead").alias("a_dead"), F.col("b.dead").alias("b_dead"), "ratio"))
     if pairs.isEmpty():
         return kept.select("row.*", "position")
-    linked = pairs.join(components(pairs, "a", "b").withColumnRenamed("id", "a"), "a")
-    kind = kept.schema["position"].dataType.simpleString()
-    slots = linked.groupBy("component").applyInPandas(_greedy, f"slot {kind}, position {kind}")
-    placed = kept.join(slots, "position", "left")
+    placed = kept.join(folded(pairs).withColumnRenamed("id", "position"), "position", "left")
     return placed.where("slot is null or slot >= 0").select("row.*", F.coalesce("slot", "position").alias("position"))
 
-
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Where each row of a linked group stands, -1 for rows that have folded into another."""
-    dead = dict(zip(pairs.a, pairs.a_dead, strict=True)) | dict(zip(pairs.b, pairs.b_dead, strict=True))
-    ratio = {(a, b): r for a, b, r in zip(pairs.a, pairs.b, pairs.ratio, strict=True)}
-    held: list[list[int]] = []  # slot and row, in order
-    for row in sorted(dead):
-        best = max((h for h in held if (h[1], row) in ratio), key=lambda h: ratio[h[1], row], default=None)
-        if best is None:
-            held.append([row, row])
-        elif dead[best[1]] and not dead[row]:
-            best[1] = row
-    slot = {row: s for s, row in held}
-    return pd.DataFrame({"slot": [slot.get(r, -1) for r in dead], "position": list(dead)})

@@ -328,6 +328,19 @@ def fuzzy_titles(read):
     return dedupe.greedy_alike(read("part").select("p_partkey", "p_name", "p_brand"), "p_partkey", "p_name", "p_brand", 0.85)
 
 
+def _syllables(words):
+    """A syllable for each word, so that titles have many different letters."""
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.lit(0xAC00) + F.pmod(F.crc32(w.cast("binary")), F.lit(1200)))), "UTF-16BE")), "")
+
+
+@query()
+def distinct_articles(read):
+    """Documents as articles, their first words as titles of a syllable each: equal titles fold, and alike ones of two languages."""
+    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 30)
+    rows = read("documents").select("doc_id", "lang", _syllables(words).alias("title"))
+    return dedupe.distinct_articles(rows, "doc_id", "title", F.col("lang").isin("en", "de")).select("doc_id")
+
+
 @query()
 def page_texts(read):
     """The text of each page, without markup, scripts and navigation."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lathework import record_queries, scan_queries  # noqa: F401, they register their queries
 from lathework.functions import text
-from lathework.operators import lineage
+from lathework.operators import lineage, sequence
 from lathework.queries import ORACLE_SQL, QUERIES, flagship, table
 
 SF = "/root/testdata/sf0.001"
@@ -97,7 +97,7 @@ def test_first_come(spark):
     stays = {}
     for n in sorted({x for pair in links for x in pair}):
         stays[n] = not any(stays[a] for a, b in links if b == n)
-    got = lineage.first_come(spark.createDataFrame(sorted(links), "a int, b int"), "a", "b").collect()
+    got = sequence.first_come(spark.createDataFrame(sorted(links), "a int, b int"), "a", "b").collect()
     assert {r.id: r.stays for r in got} == stays
     assert len(got) == len(stays)
-    assert lineage.first_come(spark.createDataFrame([], "a int, b int"), "a", "b").collect() == []
+    assert sequence.first_come(spark.createDataFrame([], "a int, b int"), "a", "b").collect() == []
