@@ -1,8 +1,9 @@
 r"""Chat formatting by schema fingerprints.
 
-A record is a JSON text of any known layout. Its fingerprint is the hash of its nested field paths (names only, sorted,
-array levels marked). Mappings are declared by the paths they need; the one whose paths a record has turns it into
-canonical (role, text) turns. Further fields, numbers in place of texts and lists without elements are no obstacle.
+A record is a JSON text or a struct of any known layout. Its fingerprint is the hash of its nested field paths (names only,
+sorted, array levels marked). Mappings are declared by the paths they need; the one whose hash is that of a record's own
+among these paths turns it into canonical (role, text) turns. Further fields, numbers in place of texts and lists without
+elements are no obstacle.
 
 The template writes a turn as `### role`, a line feed, the text, `</turn>` and a line feed. Inside roles and texts each
 backslash, `###` and `</turn>` (in roles also a line feed) gets a backslash before it, which reading takes away again, so
@@ -23,8 +24,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from lathework.llm.common import free_name, let, running
+from lathework.llm.common import cut_out, free_name, in_pieces, let, running
 
 TURNS = "array<struct<role string, text string>>"
 #: Bytes of a record up to which the parser's limits can't be met.
@@ -45,18 +47,41 @@ def _told(record: Column, mark: Column) -> Column:
     return F.when((size > PARSED_BYTES) & F.try_parse_json(record).isNull(), F.raise_error(said).cast("bigint")).otherwise(mark)
 
 
+class Parsed:
+    """How a mapping reads a record that was a JSON text."""
+
+    @staticmethod
+    def field(v: Column, name: str) -> Column:
+        """A field's value as text, whatever its type; null if it is null or absent."""
+        return F.try_variant_get(v, f"$.{name}", "string")
+
+    @staticmethod
+    def items(v: Column, name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "array<variant>")
+
+
+class Typed:
+    """How a mapping reads a record that is a struct."""
+
+    @staticmethod
+    def field(v: Column, name: str) -> Column:
+        return v[name].cast("string")
+
+    @staticmethod
+    def items(v: Column, name: str) -> Column:
+        return v[name]
+
+
+Turns = Callable[[Column, "type[Parsed] | type[Typed]"], Column]
+
+
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the field paths that its records have (`[]` marks the elements of a list), and what makes turns of a parsed record."""
+    """A layout: the field paths that its records have (`[]` marks the elements of a list), and what makes turns of a record."""
 
     name: str
     paths: tuple[str, ...]
-    turns: Callable[[Column], Column]
-
-
-def _field(v: Column, name: str) -> Column:
-    """A field's value as text, whatever its type; null if it is null or absent."""
-    return F.try_variant_get(v, f"$.{name}", "string")
+    turns: Turns
 
 
 def _turn(role: Column | str, text: Column) -> Column:
@@ -64,29 +89,25 @@ def _turn(role: Column | str, text: Column) -> Column:
     return F.struct(said.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _items(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "array<variant>")
-
-
-def _listed(name: str, role: str, text: str, names: dict[str, str] | None = None) -> Callable[[Column], Column]:
-    def turns(v: Column) -> Column:
+def _listed(name: str, role: str, text: str, names: dict[str, str] | None = None) -> Turns:
+    def turns(v: Column, kind: type[Parsed] | type[Typed]) -> Column:
         def one(x: Column) -> Column:
-            said = _field(x, role)
+            said = kind.field(x, role)
             for a, b in (names or {}).items():
-                said = F.when(_field(x, role) == a, F.lit(b)).otherwise(said)
-            return _turn(said, _field(x, text))
+                said = F.when(kind.field(x, role) == a, F.lit(b)).otherwise(said)
+            return _turn(said, kind.field(x, text))
 
-        return F.transform(_items(v, name), one)
+        return F.transform(kind.items(v, name), one)
 
     return turns
 
 
-def _prompted(prompt: str, answer: str, more: str | None = None) -> Callable[[Column], Column]:
-    def turns(v: Column) -> Column:
-        asked = F.coalesce(_field(v, prompt), F.lit(""))
+def _prompted(prompt: str, answer: str, more: str | None = None) -> Turns:
+    def turns(v: Column, kind: type[Parsed] | type[Typed]) -> Column:
+        asked = F.coalesce(kind.field(v, prompt), F.lit(""))
         if more:
-            asked = let(F.coalesce(_field(v, more), F.lit("")), lambda m: F.when(m == "", asked).otherwise(F.concat(asked, F.lit("\n\n"), m)))
-        return F.array(_turn("user", asked), _turn("assistant", _field(v, answer)))
+            asked = let(F.coalesce(kind.field(v, more), F.lit("")), lambda m: F.when(m == "", asked).otherwise(F.concat(asked, F.lit("\n\n"), m)))
+        return F.array(_turn("user", asked), _turn("assistant", kind.field(v, answer)))
 
     return turns
 
@@ -109,27 +130,62 @@ def _present(v: Column, path: str) -> Column:
     if "[]." not in path:
         return has(v, path)
     name, inner = path.split("[].")
-    return F.coalesce(F.forall(_items(v, name), lambda x: has(x, inner)), F.lit(False))
+    return F.coalesce(F.forall(Parsed.items(v, name), lambda x: has(x, inner)), F.lit(False))
+
+
+def _paths(kind: StructType) -> list[str]:
+    """The field paths of a struct's type."""
+    found = []
+    for f in kind.fields:
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            found += [f"{f.name}[].{inner.name}" for inner in f.dataType.elementType.fields]
+        else:
+            found.append(f.name)
+    return found
+
+
+def path_hash(paths: Column) -> Column:
+    """The hash of some field paths, in whatever order they come."""
+    return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
+
+
+def _selected(known: Column, mappings: list[Mapping]) -> Column:
+    """The place in `mappings` of the one whose hash a record's declared paths have, less those it does not name; null if none.
+
+    Where several are met, the one of most paths is taken, of equals the earliest.
+    """
+    texts = lambda paths: F.array(*map(F.lit, paths))
+    ranked = sorted(range(len(mappings)), key=lambda k: -len(mappings[k].paths))
+    return F.coalesce(*[F.when(path_hash(F.array_intersect(known, texts(mappings[k].paths))) == path_hash(texts(mappings[k].paths)), k) for k in ranked])
 
 
 def canonical_turns(records: DataFrame, record: str = "record", mappings: list[Mapping] | None = None) -> DataFrame:
     """`records` with `layout`, `turns` and `fingerprint`.
 
-    The fingerprint of a record's declared paths (those that any mapping names) selects the mapping: fields that no
-    mapping names, and the types of values, change nothing. Where the paths of several mappings are present, the one
-    with most paths is taken, of equals the earliest. `fingerprint` is of all paths, to count unknown layouts by.
+    A record is a JSON text, or a struct, whose type then tells its paths. The hash of its declared paths (those that any
+    mapping names) selects the mapping: fields that no mapping names, and the types of values, change nothing.
+    `fingerprint` is of all paths, to count unknown layouts by.
     """
     mappings = MAPPINGS if mappings is None else mappings
     declared = sorted({p for m in mappings for p in m.paths})
-    parsed, mark, known = (free_name(records, n) for n in ("parsed", "mark", "known"))
-    marked = records.withColumn(parsed, F.try_parse_json(F.col(record)))
-    present = F.array_compact(F.array(*[F.when(_present(F.col(parsed), p), F.lit(p)) for p in declared]))
-    marked = marked.withColumns({mark: _told(F.col(record), fingerprint(F.col(record))), known: F.coalesce(present, F.array().cast("array<string>"))})
-    layout, turns = F.lit("unknown"), F.lit(None).cast(TURNS)
-    for m in reversed(sorted(mappings, key=lambda m: -len(m.paths))):  # the one asked first is set last
-        same = F.size(F.array_intersect(F.col(known), F.array(*map(F.lit, m.paths)))) == len(m.paths)
-        layout, turns = F.when(same, m.name).otherwise(layout), F.when(same, m.turns(F.col(parsed)).cast(TURNS)).otherwise(turns)
-    return marked.withColumns({"layout": layout, "turns": turns, "fingerprint": F.col(mark)}).drop(parsed, mark, known)
+    kind, (parsed, mark, chosen) = records.schema[record].dataType, (free_name(records, n) for n in ("parsed", "mark", "chosen"))
+    none = F.array().cast("array<string>")
+    if isinstance(kind, StructType):
+        paths, reader = _paths(kind), Typed
+        has = [p for p in declared if p in paths]
+        known, told = F.array(*map(F.lit, has)) if has else none, path_hash(F.array(*map(F.lit, paths)))
+        marked = records.withColumn(parsed, F.col(record))
+        mappings = [m if set(m.paths) <= set(paths) else Mapping(m.name, m.paths, lambda v, kind: F.lit(None).cast(TURNS)) for m in mappings]
+    else:
+        reader = Parsed
+        marked = records.withColumn(parsed, F.try_parse_json(F.col(record)))
+        known = F.coalesce(F.array_compact(F.array(*[F.when(_present(F.col(parsed), p), F.lit(p)) for p in declared])), none)
+        told = _told(F.col(record), fingerprint(F.col(record)))
+    marked = marked.withColumns({mark: told, chosen: _selected(known, mappings)})
+    of = lambda k, value: F.when(F.col(chosen) == k, value)
+    layout = F.coalesce(*[of(k, m.name) for k, m in enumerate(mappings)], F.lit("unknown"))
+    turns = F.coalesce(*[of(k, m.turns(F.col(parsed), reader).cast(TURNS)) for k, m in enumerate(mappings)], F.lit(None).cast(TURNS))
+    return marked.withColumns({"layout": layout, "turns": turns, "fingerprint": F.col(mark)}).drop(parsed, mark, chosen)
 
 
 def layouts(records: DataFrame, record: str = "record", mappings: list[Mapping] | None = None) -> DataFrame:
@@ -138,15 +194,14 @@ def layouts(records: DataFrame, record: str = "record", mappings: list[Mapping]
 
 
 def conversation_turns(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as canonical turns, one row for each conversation, of the layout `turns`.
+    """Rows (conv_id, turn, role, text) as canonical turns, one row for each conversation, with `layout` and `fingerprint`.
 
-    All of them have the paths of that layout, so the fingerprint that selects its mapping is a constant and the mapping
-    the identity: the turns are built as they are, without JSON between.
+    The rows of a conversation make a typed record, which goes through the mappings as any other.
     """
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text"))
+    turn = F.struct(F.col("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     said = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.lit("turns").alias("layout"), said.cast(TURNS).alias("turns"))
+    records = rows.groupBy("conv_id").agg(said.alias("turns")).select("conv_id", F.struct("turns").alias("record"))
+    return canonical_turns(records).drop("record")
 
 
 # The marks of the template, as patterns.
@@ -195,7 +250,7 @@ def read_chat(formatted: Column) -> Column:
 
 def masked_texts(formatted: Column, mask: Column) -> Column:
     """The texts under the loss mask, without escapes."""
-    return F.transform(mask, lambda m: _unescape(F.substring(formatted, m["start"] + 1, m["end"] - m["start"])))
+    return let(in_pieces(formatted), lambda p: F.transform(mask, lambda m: _unescape(cut_out(p, m["start"], m["end"] - m["start"]))))
 
 
 #: The text that imitates the template's own marks, in a conversation of the number -7.

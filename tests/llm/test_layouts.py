@@ -74,3 +74,40 @@ def test_odd_conversations(spark):
         assert (r.n_turns, r.turns_sha256) == (len(turns), brute.sha("".join(f"{role}\n{t}\n" for _, role, t in turns)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), brute.sha(loss))
         assert r.formatted_chars == sum(len(f"### {escape(role, name)}\n{escape(t, body)}</turn>\n") for _, role, t in turns)
+
+
+def test_typed_records(spark):
+    """Structs find the same mappings as JSON texts of the same fields, by their types."""
+    rows = [
+        ("named_struct('messages', array(named_struct('role', 'user', 'content', 'q'), named_struct('role', 'assistant', 'content', null)), 'id', 7)", "messages", [("user", "q"), ("assistant", "")]),
+        ("named_struct('conversations', array(named_struct('from', 'human', 'value', 'q'), named_struct('from', 'gpt', 'value', 'a')))", "conversations", [("user", "q"), ("assistant", "a")]),
+        ("named_struct('instruction', 'do', 'input', 'this', 'output', 5)", "instruction", [("user", "do\n\nthis"), ("assistant", "5")]),
+        ("named_struct('instruction', 'do', 'output', 'done', 'turns', 'none')", "instruction_short", [("user", "do"), ("assistant", "done")]),
+        ("named_struct('other', 1)", "unknown", None),
+    ]
+    for sql, layout, turns in rows:
+        one = spark.sql(f"select {sql} as record")
+        typed = chat.canonical_turns(one).collect()[0]
+        assert (typed.layout, typed.turns and [tuple(t) for t in typed.turns]) == (layout, turns)
+        text = chat.canonical_turns(one.selectExpr("to_json(record, map('ignoreNullFields', 'false')) as record")).collect()[0]
+        assert text.layout == layout
+
+
+def test_conversations_go_through_the_mappings(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "q")], "conv_id bigint, turn bigint, role string, text string")
+    assert [(r.layout, r.turns[0].text) for r in chat.conversation_turns(rows).collect()] == [("turns", "q")]
+    monkeypatch.setattr(chat, "MAPPINGS", [m for m in chat.MAPPINGS if m.name != "turns"])
+    assert [(r.layout, r.turns) for r in chat.conversation_turns(rows).collect()] == [("unknown", None)]
+
+
+def test_very_many_turns(spark):
+    """Masked texts are cut out without a walk from the beginning for each."""
+    import time
+
+    rows = spark.sql("select 1L as conv_id, id as turn, if(id % 2 = 0, 'user', 'assistant') as role, concat('é', id, '###') as text from range(30000)")
+    chat.chat_digest(rows.limit(10)).collect()
+    began = time.monotonic()
+    r = chat.chat_digest(rows).where("conv_id = 1").collect()[0]
+    assert time.monotonic() - began < 12
+    loss = "".join(f"é{i}###" for i in range(1, 30000, 2))
+    assert (r.n_turns, r.loss_chars) == (30000, len(loss))
