@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathework.functions.titles import with_title_parts
 from lathework.operators import characters
 from lathework.operators.lineage import cut
 from lathework.operators.sequence import first_come
-from lathework.operators.titles import alike_pairs
+from lathework.operators.titles import alike_pairs, keyed
 
 
 def best_of_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -49,13 +48,13 @@ def greedy_alike(rows: DataFrame, row_id: str, title: str, source: str, least: f
     whose title is empty or null stay all.
     """
     named = rows.select(F.col(row_id).alias("id"), F.col(source).alias("source"), F.col(title).alias("title"))
-    keyed = cut(with_title_parts(named, "title", least=least).drop("title"))
-    first = keyed.where("key.canon <> ''").groupBy("key.canon").agg(F.min_by(F.struct("id", "source", "key"), "id").alias("side"))
+    told = cut(keyed(named, "title", least=least).drop("title"))
+    first = told.where("key.canon <> ''").groupBy("key.canon").agg(F.min_by(F.struct("id", "source", "key"), "id").alias("side"))
     side = cut(first.select("side"))
     other = (F.col("a.source") != F.col("b.source")) & (F.col("a.id") < F.col("b.id"))
     pairs = cut(alike_pairs(side.select(F.col("side").alias("a")), side.select(F.col("side").alias("b")), other, least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
     gone = first_come(pairs, "a", "b").where("NOT stays").select("id")
-    stay = side.select("side.id").join(gone, "id", "left_anti").union(keyed.where("key.canon = ''").select("id"))
+    stay = side.select("side.id").join(gone, "id", "left_anti").union(told.where("key.canon = ''").select("id"))
     return rows.join(stay.withColumnRenamed("id", "kept_id"), F.col(row_id) == F.col("kept_id"), "left_semi")
 
 
@@ -65,8 +64,8 @@ def distinct_articles(rows: DataFrame, order: str, title: str, within: Column, l
     Alike are titles with an in-order ratio of `least` or more, the earlier one first. `within` tells the rows of the group;
     all others are held against nothing but equal titles. Null titles are empty ones. `order` has to be unique.
     """
-    keyed = rows.select(F.col(order).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.coalesce(within, F.lit(False)).alias("within"))
-    first = cut(keyed.groupBy("title").agg(F.min_by(F.struct("id", "within"), "id").alias("f")).select("f.id", "title", "f.within"))
+    told = rows.select(F.col(order).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.coalesce(within, F.lit(False)).alias("within"))
+    first = cut(told.groupBy("title").agg(F.min_by(F.struct("id", "within"), "id").alias("f")).select("f.id", "title", "f.within"))
     pairs = characters.alike(first.where("within").select("id", "title"), "title", least)
     gone = first_come(pairs, "a", "b").where("NOT stays").select("id")
     stay = first.select("id").join(gone, "id", "left_anti").withColumnRenamed("id", "kept_id")

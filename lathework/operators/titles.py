@@ -25,16 +25,25 @@ def alike_pairs(left: DataFrame, right: DataFrame, where: Column | None = None,
     return met.select("a", "b", likeness(F.col("a.key"), F.col("b.key")).alias("ratio")).where(F.col("ratio") >= least)
 
 
+def keyed(rows: DataFrame, title: str, into: str = "key", least: float = RATIO) -> DataFrame:
+    """`rows` with the parts of their titles, which are taken apart once for each distinct title."""
+    known = rows.select(F.col(title).alias("_known")).distinct()
+    known = cut(with_title_parts(known, "_known", into, least))
+    return rows.join(known.hint("merge"), F.col(title).eqNullSafe(F.col("_known"))).drop("_known")
+
+
 def match_titles(rows: DataFrame, row_id: str, title: str, index: DataFrame, key: str, index_title: str, order: str) -> DataFrame:
     """(row_id, key, ratio) of the best entry of the index for each row that has one; ratio 1 for equal keys.
 
     Equal keys come first (the entry first in `order`), then the highest ratio, the shorter core, the order. Keys have to
     be unique in the index, and so has `order`. Empty and null titles match nothing.
     """
-    wanted = with_title_parts(rows.select(row_id, F.col(title).alias("_title")), "_title", "_parts")
+    wanted = keyed(rows.select(row_id, F.col(title).alias("_title")), "_title", "_parts")
     wanted = cut(wanted.select(row_id, F.struct(F.col(row_id).alias("id"), F.col("_parts").alias("key")).alias("b")).where("b.key.canon <> ''"))
-    held = with_title_parts(index.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(index_title).alias("_title")), "_title", "_parts")
-    held = cut(held.select(F.struct("id", "order", F.col("_parts").alias("key")).alias("a")).where("a.key.canon <> ''"))
+    held = keyed(index.select(F.col(key).alias("id"), F.col(order).alias("order"), F.col(index_title).alias("_title")), "_title", "_parts")
+    held = held.select(F.struct("id", "order", F.col("_parts").alias("key")).alias("a")).where("a.key.canon <> ''")
+    # Of entries with one key and the same parts none but the first can be the best.
+    held = cut(held.groupBy(F.struct("a.key.canon", "a.key.compact", "a.key.core", "a.key.words").alias("same")).agg(F.min_by("a", "a.order").alias("a")).select("a"))
     first = held.groupBy(F.col("a.key.canon").alias("canon")).agg(F.min_by("a.id", "a.order").alias(key))
     exact = wanted.join(first, F.col("b.key.canon") == F.col("canon")).select(row_id, key, F.lit(1.0).alias("ratio"))
     rest = wanted.join(first, F.col("b.key.canon") == F.col("canon"), "left_anti").select("b")
@@ -50,10 +59,10 @@ def deduplicate(rows: DataFrame, title: str, source: str | None, order: str, exp
     row, without a source). What is kept gives way to a later row if it has expired and that has not. The second pass
     depends on the order within linked rows alone, so it runs by bounded segments of linked groups.
     """
-    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.col(order).alias("at"), F.coalesce(expired, F.lit(False)).alias("dead"), F.col(title).alias("title"))
-    keyed = with_title_parts(keyed, "title").drop("title")
+    told = rows.select(F.struct(*rows.columns).alias("row"), F.col(order).alias("at"), F.coalesce(expired, F.lit(False)).alias("dead"), F.col(title).alias("title"))
+    told = keyed(told, "title").drop("title")
     same = F.when(F.col("key.canon") != "", F.col("key.canon")).otherwise(F.concat(F.lit(" "), F.col("at").cast("string")))
-    first = keyed.groupBy(same.alias("same")).agg(F.min_by(F.struct("row", "dead", "key"), F.struct("dead", "at")).alias("kept"), F.min("at").alias("position"))
+    first = told.groupBy(same.alias("same")).agg(F.min_by(F.struct("row", "dead", "key"), F.struct("dead", "at")).alias("kept"), F.min("at").alias("position"))
     kept = cut(first.select("position", "kept.*"))
     from_ = F.col(f"row.{source}") if source else F.col("position")
     side = F.struct(F.col("position").alias("id"), from_.alias("source"), "dead", "key")
