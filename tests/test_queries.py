@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lathework import record_queries, scan_queries  # noqa: F401, they register their queries
+from lathework import page_queries, record_queries, scan_queries  # noqa: F401, they register their queries
 from lathework.functions import text
 from lathework.operators import lineage, sequence
 from lathework.queries import ORACLE_SQL, QUERIES, flagship, table
@@ -39,7 +39,7 @@ def test_sql(spark, tables, name):
 
 
 def test_all_others_are_known():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"fuzzy_titles", "page_texts", "title_two_passes", "title_matches", "merged_copies", "packed_site_queries", "packed_messages", "page_links"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"distinct_articles", "fuzzy_titles", "page_texts", "title_two_passes", "title_matches", "merged_copies", "packed_site_queries", "packed_messages", "page_links"}
 
 
 def test_flagship(spark):
