@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lathework.functions.text import page_text
 from lathework.operators.filters import first_match
+from lathework.operators.lineage import cut
+from lathework.operators.sequence import running_sum
 
 # Where the quotation in a reply begins, mailboxes that anyone can have, and labels.
 QUOTE_STARTS = [
@@ -152,7 +154,7 @@ def thread_texts(mail: DataFrame, total: int = TOTAL) -> DataFrame:
     """(thread_id, text): threads as text, within a total of characters.
 
     Where the total is over, the oldest unimportant threads give up their bodies first and keep the preview. The threads
-    of one report are few; the running total is over one row for each.
+    of one report are few, but all of a mailbox need not be: the running total is one over a distributed sort.
     """
     nth = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.col("at_ms").desc(), F.col("id").desc()))
     clipped = lambda c, n: F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n)), F.lit(" …("), (F.length(c) - n).cast("string"), F.lit(" omitted)"))).otherwise(c)
@@ -162,11 +164,14 @@ def thread_texts(mail: DataFrame, total: int = TOTAL) -> DataFrame:
     whole = F.concat(head, F.when(F.col("_nth") == 1, F.concat(clipped(body, LATEST), F.when(F.col("quoted") != "", F.concat(F.lit("\n> "), clipped(F.col("quoted"), QUOTED))).otherwise(""))).otherwise(clipped(body, EARLIER)))
     in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at_ms", "id", c.alias("t")))), lambda x: x["t"]), "\n")
     each = rows.groupBy("thread_id").agg(in_order(whole).alias("_whole"), in_order(F.concat(head, "snippet")).alias("_short"), F.bool_or(F.array_contains("labels", "IMPORTANT")).alias("_important"), F.max("at_ms").alias("_at"))
-    all_of = Window.partitionBy(F.lit(0))
-    order = all_of.orderBy("_important", "_at", "thread_id").rowsBetween(Window.unboundedPreceding, -1)
-    full, short = F.length("_whole"), F.length("_short")
-    fits = F.sum(full).over(all_of) - F.coalesce(F.sum(full - short).over(order), F.lit(0)) <= total
-    return each.select("thread_id", F.when(fits, F.col("_whole")).otherwise(F.col("_short")).alias("text"))
+    each = cut(each)
+    sizes = each.select("thread_id", "_important", "_at", F.length("_whole").alias("_full"), (F.length("_whole") - F.length("_short")).alias("_saves"))
+    over = (sizes.agg(F.sum("_full")).collect()[0][0] or 0) - total  # one number
+    order = [F.col("_important"), F.col("_at"), F.col("thread_id")]
+    # A body goes as long as those before it have not saved enough.
+    short = running_sum(sizes, order, F.col("_saves"), "_sum").where(F.col("_sum") - F.col("_saves") < over).select("thread_id", F.lit(True).alias("_cut"))
+    told = each.join(short, "thread_id", "left")
+    return told.select("thread_id", F.when(F.col("_cut"), F.col("_short")).otherwise(F.col("_whole")).alias("text"))
 
 
 def frequent(mail: DataFrame, column: str, n: int) -> DataFrame:
