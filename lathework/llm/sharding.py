@@ -76,25 +76,33 @@ def directory(docs: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = DEFAULT_LIMIT) -> DataFrame:
     """`docs` with shard_depth, shard (the prefix bits as a string), shard_bytes and shard_fits.
 
-    The depths that occur are at most 60, so a row meets the directory by an equality join for each of them; the
-    directory is joined by Spark's own choice of strategy and is never forced to be broadcast.
+    A row meets the directory once, at the depth that most buckets have: deeper ones stand under their prefix there, less
+    deep ones under each that they cover, and of those a row's hash lies in the range of one. So a row moves once at most,
+    whatever the number of depths. The join is by Spark's own choice of strategy and is never forced to be broadcast.
     """
     docs = docs.drop(*ADDED)
     buckets = directory(docs, key, F.octet_length(F.coalesce(F.col(text), F.lit(""))), limit)
-    depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
+    depths = buckets.groupBy("depth").agg(F.count("*").alias("n")).collect()  # at most 61 rows
     if not depths:
         return docs.select("*", F.lit("").alias("shard"), F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(True).alias("shard_fits"))
-    own, place = free_name(docs, "own_hash"), free_name(docs, "place")
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col(own), d).alias("prefix")) for d in depths]))
-    rows = docs.withColumn(own, key_hash(F.col(key))).select(*[F.col(f"`{c}`") for c in docs.columns], at.alias(place))
+    usual = max(depths, key=lambda r: (r.n, r.depth)).depth
+    own, home, low, high = (free_name(docs, n) for n in ("own_hash", "home", "low", "high"))
+    rows = docs.withColumn(own, key_hash(F.col(key))).withColumn(home, _prefix(F.col(own), usual))
+    left = lambda v, n: F.call_function("shiftleft", v, n.cast("int"))
+    first = left(F.col("prefix"), F.greatest(usual - F.col("depth"), F.lit(0)))
+    last = left(F.col("prefix") + 1, F.greatest(usual - F.col("depth"), F.lit(0))) - 1
+    homes = F.when(F.col("depth") >= usual, F.array(F.call_function("shiftright", F.col("prefix"), F.greatest(F.col("depth") - usual, F.lit(0)).cast("int")))).otherwise(F.sequence(first, last))
     shards = buckets.select(
-        F.struct("depth", "prefix").alias(place),
+        F.explode(homes).alias(home),
+        left(F.col("prefix"), BITS - F.col("depth")).alias(low),
+        (left(F.col("prefix") + 1, BITS - F.col("depth")) - 1).alias(high),
         F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).alias("shard"),
         F.col("depth").alias("shard_depth"),
         F.col("bytes").alias("shard_bytes"),
         F.col("fits").alias("shard_fits"),
     )
-    return rows.join(shards, place).drop(place)
+    met = rows.join(shards, (rows[home] == shards[home]) & rows[own].between(shards[low], shards[high]))
+    return met.select(*[rows[f"`{c}`"] for c in docs.columns], *[shards[c] for c in ADDED])
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = DEFAULT_LIMIT) -> None:

@@ -197,6 +197,21 @@ def test_unsplittable_shards(spark, tmp_path):
     assert back.where("key = 'hot'").select(F.input_file_name()).distinct().count() > 1
 
 
+def test_shards_move_rows_once(spark, folders):
+    """Without a broadcast the rows are in one shuffle, not multiplied by depths, and the result is the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = sorted(tuple(r) for r in sharding.assign_shards(docs, limit=20000).select("doc_id", "shard", "shard_fits").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sharding.assign_shards(docs, limit=20000)
+        assert sorted(tuple(r) for r in got.select("doc_id", "shard", "shard_fits").collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Generate") == 1  # of the directory
+    assert len({len(s) for _, s, _ in want}) > 1
+
+
 @CASES
 def test_store(spark, folders, case):
     folder, docs, _ = folders[case]
