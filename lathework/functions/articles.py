@@ -14,19 +14,22 @@ from pyspark.sql.types import StringType
 
 from lathework.functions.text import unescape
 
-# What marks the body of an article, and blocks that are none of it.
-BODY_MARKS = (
-    "articlebody article-view-content article_body article-body news_body newsbody news-body story-news article_txt article-txt art_body view_con article-content article_content "
-    "entry-content post-content story-body caas-body body-text articletext"
-).split()
-NOISE_STARTS = (
-    "relat popular recommend rank best most aside sidebar banner advert promo share sns social comment reporter byline copyright keyword newsletter subscribe footer header nav menu photo "
-    "caption figcaption series more tag"
-).split()
-NOISE_WORDS = frozenset("ad ads adv ad_area".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript svg nav footer header aside form figure figcaption button select template iframe head title".split())
-BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article table ul ol blockquote".split())
+# What marks the body of an article, how the marks of blocks begin that are none of it and which whole marks are
+# such, and elements by their kind. Each stands as it is compared.
+BODY_MARKS = re.compile(
+    r"articlebody|article-view-content|article_body|article-body|news_body|newsbody|news-body|story-news|article_txt|article-txt|art_body|view_con|article-content|article_content|"
+    r"entry-content|post-content|story-body|caas-body|body-text|articletext"
+)
+NOISE_STARTS = [
+    "relat", "popular", "recommend", "rank", "best", "most", "aside", "sidebar", "banner", "advert", "promo", "share", "sns", "social", "comment", "reporter", "byline", "copyright", "keyword",
+    "newsletter", "subscribe", "footer", "header", "nav", "menu", "photo", "caption", "figcaption", "series", "more", "tag",
+]
+NOISE_WORDS = ["ad", "ads", "adv"]
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+SKIPPED = {"script", "style", "noscript", "svg", "nav", "footer", "header", "aside", "form", "figure", "figcaption", "button", "select", "template", "iframe", "head", "title"}
+BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "blockquote"}
+#: A mark, at the beginning of a name or behind a blank, underscore, hyphen or colon, that tells a block apart from the body.
+NOISE = re.compile(rf"(?:^|[\s_\-:])(?:{'|'.join(NOISE_STARTS)}|(?:{'|'.join(NOISE_WORDS)})(?![^\s_\-:]))")
 LIST_HEADINGS = re.compile(
     r"(관련\s?기사|관련\s?뉴스|많이\s?본\s?(기사|뉴스)|인기\s?(기사|뉴스)|추천\s?기사|주요\s?뉴스|최신\s?기사|이\s?시각\s?(주요|인기)\s?뉴스|함께\s?보면\s?좋은\s?기사|"
     r"Related (Articles|Stories|Coverage|News|Content)|Recommended( for You| Reading| Stories)?|More (from|on) [A-Z][\w&.' -]{1,40}|Most (Read|Popular|Viewed)|Trending( Now)?|Read More|Top Stories)[\s:：>»›]*"
@@ -59,10 +62,10 @@ class _Tree(HTMLParser):
                 self.open[-1].parts.append("\n")
             return
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
-        tokens = [t for t in re.split(r"[\s_\-:]+", marks) if t]
         strong = any(k == "itemprop" and (v or "").lower() == "articlebody" for k, v in attrs)
-        weak = any(m in marks for m in BODY_MARKS)
-        noise = tag in SKIPPED or (not strong and not weak and tag not in ("html", "body", "main") and any(t in NOISE_WORDS or t.startswith(tuple(NOISE_STARTS)) for t in tokens))
+        weak = BODY_MARKS.search(marks) is not None
+        told = strong or weak or tag in ("html", "body", "main")
+        noise = tag in SKIPPED or (not told and NOISE.search(marks) is not None)
         if self.off or noise:
             self.off.append(tag)
             return
