@@ -13,6 +13,8 @@ joins shuffle, and documents without any hit are put aside by a semi join on bar
 Defined cases: null or empty text has no words; items without id are ignored, repeated ones count once; rows are told
 apart by (doc_id, text), so repeated rows get equal results; an empty benchmark hits nothing; other columns are dropped
 by `find_hits` and carried along by `decontaminate`.
+
+Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ tasks, which give only links between components. Components come from contractio
 least random rank, and the edges between what remains are kept in tables in the shared folder until there are none.
 No group's pairs are emitted, and no group, link set or component is gathered in one task or the driver.
 
+A doc_id has to be a number. Full sets are sets of 64-bit hashes of shingles: two shingles of one hash count as one.
+
 With similarity s a pair meets in a band with probability 1 - (1 - s**ROWS)**BANDS, all but some 2e-7 at 0.75.
 
 Defined cases: null or empty text has no shingles and is linked with nothing; fewer words than SHINGLE make one shingle;

@@ -22,7 +22,7 @@ whose next smaller one has just been reached at the head of what is left of its
 
 Defined cases: null or empty text has no bytes; a text shorter than LENGTH keeps all; a doc_id names one document, so rows
 that repeat it remove nothing from each other; a null doc_id counts as greater than all others; an empty table gives an
-empty table; other columns are dropped. Anchors and stretches are told apart by 64-bit hashes, strings by their bytes.
+empty table; other columns are dropped; a doc_id has to be a number. Anchors and stretches are told apart by 64-bit hashes, strings by their bytes.
 """
 
 from __future__ import annotations
