@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lathework import page_queries, record_queries, scan_queries  # noqa: F401, they register their queries
+from lathework import page_queries, record_queries, scan_queries, state_queries  # noqa: F401, they register their queries
 from lathework.functions import text
 from lathework.operators import lineage, sequence
 from lathework.queries import ORACLE_SQL, QUERIES, flagship, table
