@@ -1,9 +1,10 @@
 """Circuits as ordered state: a source that fails too often in a row is left alone for a while, then tried again.
 
 What a circuit does with a call depends on all calls before it, but through one of few states only: so many failures in a
-row, so many calls skipped, or on trial. The calls of a segment thus make a function from states to states. These are made
-for all segments at once, composed along the segments of a source, and each segment is then run from the state it begins
-in. A source may so have any number of calls: a task holds those of a segment, or one function for each segment.
+row, so many calls skipped, or on trial. Calls are sorted by source and order and cut into segments of one length. A source
+within a segment begins closed. For one that goes on into another, its calls in a segment make a function from states to
+states; these are made for all segments at once and composed along the source, and each segment is then run from the state
+it begins in. A source may so have any number of calls: a task holds a segment, or one source's functions.
 """
 
 from __future__ import annotations
@@ -52,37 +53,49 @@ def with_states(calls: DataFrame, source: str, order: list[Column], failed: Colu
     size = segment or SEGMENT
     n = len(after)
     placed = numbered(calls.withColumn("_failed", F.coalesce(failed, F.lit(True))), [F.col(source), *order], "_number")
-    # A segment is cut by number, so that a source's first may be short.
-    placed = placed.withColumn("_segment", F.floor(F.col("_number") / size).cast("bigint"))
+    bits = placed.select(F.floor(F.col("_number") / size).cast("bigint").alias("segment"), F.col("_number").alias("number"), F.col(source).alias("source"), "_failed")
     kind = calls.schema[source].dataType.simpleString()
-
-    def function(rows: pd.DataFrame) -> pd.DataFrame:
-        ends = np.arange(n)
-        for bad in rows.sort_values("_number")["_failed"].to_numpy(bool):
-            ends = after[ends, int(bad)]
-        return pd.DataFrame({"source": [rows["source"].iloc[0]], "segment": [rows["_segment"].iloc[0]], "ends": [ends.tolist()]})
-
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
+    steps = after.tolist()
+
+    def runs(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """Rows in order, and where sources begin and end."""
+        rows = rows.sort_values("number")
+        codes = pd.factorize(rows["source"])[0]
+        return rows, np.concatenate(([0], np.flatnonzero(np.diff(codes)) + 1, [len(rows)]))
+
+    def functions(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, cuts = runs(rows)
+        bad = rows["_failed"].to_numpy(bool).astype(np.int64)
+        found = []
+        for i in sorted({0, len(cuts) - 2}):  # the others do not leave the segment
+            ends = np.arange(n)
+            for x in bad[cuts[i] : cuts[i + 1]]:
+                ends = after[ends, x]
+            found.append(ends.tolist())
+        at = [0] if len(cuts) == 2 else [0, cuts[-2]]
+        return pd.DataFrame({"source": rows["source"].iloc[at], "segment": rows["segment"].iloc[at], "leads": [i == 0 for i in at], "ends": found})
+
+    def composed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("segment")
         state, begins = 0, []
         for ends in rows["ends"]:
             begins.append(state)
             state = int(ends[state])
-        return pd.DataFrame({"source": rows["source"], "segment": rows["segment"], "begin": begins})
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_number")
-        state, outcomes = int(rows["begin"].iloc[0]), []
-        for bad in rows["_failed"].to_numpy(bool):
-            outcomes.append("skipped" if not called[state] else "failed" if bad else "ok")
-            state = after[state, int(bad)]
-        return pd.DataFrame({"number": rows["_number"], "outcome": outcomes})
-
-    bits = placed.select(F.col(source).alias("source"), "_segment", "_number", "_failed")
-    functions = bits.groupBy("source", "_segment").applyInPandas(function, f"source {kind}, segment bigint, ends array<bigint>")
-    begins = functions.groupBy("source").applyInPandas(compose, f"source {kind}, segment bigint, begin bigint")
-    begun = bits.join(begins, bits["source"].eqNullSafe(begins["source"]) & (bits["_segment"] == begins["segment"])).select(bits["source"], "_segment", "_number", "_failed", "begin")
-    states = begun.groupBy("source", "_segment").applyInPandas(run, "number bigint, outcome string")
+        return pd.DataFrame({"segment": rows["segment"], "leads": rows["leads"], "begin": begins})
+
+    def outcomes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, cuts = runs(rows)
+        bad, fresh = rows["_failed"].to_numpy(bool).tolist(), set(cuts[1:].tolist())
+        state, found = int(rows["begin"].iloc[0]), []
+        for i, x in enumerate(bad):
+            state = 0 if i in fresh else state
+            found.append("skipped" if not called[state] else "failed" if x else "ok")
+            state = steps[state][x]
+        return pd.DataFrame({"number": rows["number"], "outcome": found})
+
+    made = bits.groupBy("segment").applyInPandas(functions, f"source {kind}, segment bigint, leads boolean, ends array<bigint>")
+    begins = made.groupBy("source").applyInPandas(composed, "segment bigint, leads boolean, begin bigint").where("leads").drop("leads")
+    states = bits.join(begins, "segment").groupBy("segment").applyInPandas(outcomes, "number bigint, outcome string")
     return placed.join(states, placed["_number"] == states["number"]).select(*calls.columns, "outcome")
 
 

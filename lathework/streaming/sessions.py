@@ -33,7 +33,7 @@ def opened(messages: DataFrame, name: str, order: list[Column]) -> DataFrame:
 
 
 def sessions(rows: DataFrame, by: list[str], at: str, gap: str, late: str | None = None, **measures: Column) -> DataFrame:
-    """(by..., start, end, n, measures): events of one key with less than `gap` between neighbours; `end` is the last one's time.
+    """(by..., start, end, n, measures): events of one key with no more than `gap` between neighbours; `end` is the last one's time.
 
     Rows without a time are dropped. In a stream, `late` is how long a session waits for rows; then it is told, once.
     """

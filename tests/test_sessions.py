@@ -22,11 +22,11 @@ def landed(spark, path, *batches):
 
 
 def test_sessions_in_tables_and_streams(spark, tmp_path):
-    rows = [(1, "a", 0), (2, "a", 9), (3, "a", 19), (4, "b", 3), (5, "a", 40), (6, "a", None), (7, "b", 3)]
+    rows = [(1, "a", 0), (2, "a", 9), (3, "a", 19), (4, "b", 3), (5, "a", 40), (10, "c", 0), (11, "c", 15), (6, "a", None), (7, "b", 3)]
     landed(spark, str(tmp_path / "in"), rows, [(8, "z", 5000)], [(9, "z", 9000)])
     table = spark.read.parquet(str(tmp_path / "in")).where("user <> 'z'")
     told = lambda d: sorted((r.user, r.start, r.end, r.n) for r in d.collect())
-    want = [("a", at(0), at(19), 3), ("a", at(40), at(40), 1), ("b", at(3), at(3), 2)]
+    want = [("a", at(0), at(19), 3), ("a", at(40), at(40), 1), ("b", at(3), at(3), 2), ("c", at(0), at(15), 2)]
     assert told(sessions.sessions(table, ["user"], "at", "15 minutes")) == want
     stream = events.read_tables(spark, str(tmp_path / "in"), SCHEMA, 1)
     out = sessions.sessions(stream, ["user"], "at", "15 minutes", "1 hour")
