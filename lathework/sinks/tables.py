@@ -23,6 +23,12 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found or [])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, through Spark's file systems."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version; an empty table if there is none. The schema is told, never guessed."""
     known = versions(spark, path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lathework.sinks import tables
+
 
 def read_tables(spark: SparkSession, path: str, schema, files: int = 10) -> DataFrame:
     """A stream of the Parquet files that land in a folder."""
@@ -64,13 +66,8 @@ def deliver_then_commit(stream: DataFrame, deliver: Callable[[DataFrame], DataFr
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            sent = spark.read.parquet(history).select(key)
-            fresh = batch.join(sent, key, "left_anti")
-        except Exception as e:  # no history yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = batch
+        held = spark.read.schema(batch.select(key).schema).parquet(history) if tables.exists(spark, history) else batch.select(key).limit(0)
+        fresh = batch.join(held, key, "left_anti")
         deliver(fresh.dropDuplicates([key])).select(key).write.mode("append").parquet(history)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

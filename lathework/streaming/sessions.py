@@ -43,13 +43,6 @@ def sessions(rows: DataFrame, by: list[str], at: str, gap: str, late: str | None
     return found.select(*by, F.col("_w.start").alias("start"), "end", "n", *measures)
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    """Whether Spark has committed a folder."""
-    jvm = spark.sparkContext._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
-
-
 def watermark(spark: SparkSession, ledger: str, kind: str = "timestamp"):
     """The time up to which both passes are done; None before the first batch."""
     if not tables.versions(spark, f"{ledger}/watermark"):
@@ -70,9 +63,9 @@ def in_two_passes(stream: DataFrame, first: Callable[[DataFrame], DataFrame], se
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         left, out = f"{ledger}/first/batch={number}", f"{ledger}/second/batch={number}"
-        if not _done(spark, left):
+        if not tables.exists(spark, f"{left}/_SUCCESS"):
             first(batch).write.mode("overwrite").parquet(left)
-        if not _done(spark, out):
+        if not tables.exists(spark, f"{out}/_SUCCESS"):
             second(spark.read.parquet(left)).write.mode("overwrite").parquet(out)
         kind = batch.schema[at].dataType.simpleString()
         held = tables.read(spark, f"{ledger}/watermark", f"batch bigint, at {kind}")
