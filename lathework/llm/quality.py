@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade: the rule that rejects most per unit of cost comes first.
 
-A rule is true of a document that fails, and reads measures of its text. On a bounded sample each rule's cost (characters
-read times what its measures take for each, less those already taken) and selectivity (share of what is left that it
-rejects) are estimated; the rules then stand in one expression in descending order of rejection per cost, so a document
+A rule is true of a document that fails, and reads measures of its text. On a bounded sample each rule's cost (the steps of
+its measures not yet taken: characters read by patterns, elements made, comparisons of sorts, counted for each text) and
+selectivity (share of what is left that it rejects) are estimated; the rules then stand in one expression in descending order of rejection per cost, so a document
 that fails an early rule never pays for a later one, and no measure is taken twice. The order changes the work, not the
 verdict: a document is kept when no rule rejects it.
 
@@ -29,7 +29,7 @@ MIN_LINES = 4
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 25
 MAX_TOP_WORD_PERCENT = 40
 #: Rows that the order of the rules is estimated on, one in so many by the hash of the text, and the longest text among
-#: them in bytes: they travel to the driver. Costs are by volume, so leaving out longer ones does not shift them.
+#: them in bytes: they travel to the driver. Longer ones have about as many steps a character, so their lack shifts no order.
 SAMPLE_ROWS, SAMPLE_OF, SAMPLE_TEXT = 256, 8, 1 << 16
 
 
@@ -100,19 +100,35 @@ def top_word(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Measure:
-    """What rules read: a function of the text, and what a character of it costs, relative to a scan by one pattern."""
+    """What rules read: a function of the text, and the steps it takes, by the counts of `COUNTS` of a text."""
 
     of: Callable[[Column], Column]
-    cost: float
+    steps: Callable[[dict[str, int]], int]
+
+
+#: What the steps of measures are counted by.
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "chars": F.length,
+    "words": n_words,
+    "lines": lambda t: F.size(F.split(t, "\n")),
+    "solid": word_chars,
+    "symbols": n_symbols,
+}
+
+
+def _sorting(n: int) -> int:
+    return n * n.bit_length()
 
 
 MEASURES: dict[str, Measure] = {
-    "n_words": Measure(n_words, 2.0),
-    "word_chars": Measure(word_chars, 1.5),
-    "n_symbols": Measure(n_symbols, 1.0),
-    "lines": Measure(lambda t: let(_lines(t), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))), 1.5),
-    "n_repeat_words": Measure(n_repeat_words, 8.0),
-    "top_word": Measure(top_word, 6.0),
+    "n_words": Measure(n_words, lambda c: c["chars"] + c["words"]),
+    "word_chars": Measure(word_chars, lambda c: c["chars"] + c["solid"]),
+    "n_symbols": Measure(n_symbols, lambda c: c["chars"] + c["symbols"]),
+    "lines": Measure(lambda t: let(_lines(t), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))), lambda c: 2 * c["chars"] + 3 * c["lines"]),
+    # Words, a hash of three of them for each window, a set, and a sort of the windows.
+    "n_repeat_words": Measure(n_repeat_words, lambda c: c["chars"] + 3 * c["solid"] + 3 * c["words"] + _sorting(c["words"])),
+    # Words, a filter, a sort of them, two looks at each, and the gaps.
+    "top_word": Measure(top_word, lambda c: c["chars"] + 4 * c["words"] + _sorting(c["words"])),
 }
 
 
@@ -146,24 +162,27 @@ def sample_of(docs: DataFrame, text: str = "text") -> DataFrame | None:
 def ordered_rules(docs: DataFrame, rules: list[Rule], text: str = "text", known: tuple[str, ...] = ()) -> list[Rule]:
     """The rules by rejection per cost, one by one: what earlier rules have measured costs a later one nothing.
 
-    One job over the sample tells which rules reject each text and how many characters it has; a rule's cost is that of
-    its measures not yet taken, by volume, and its selectivity is of the texts that the rules before it leave. Both are
-    the same in each run over the same sample. `known` measures cost nothing at all; ties keep the order given.
+    One job over the sample tells which rules reject each text and its counts; a rule's cost is the steps of its measures
+    not yet taken, in all texts that the rules before it leave, and its selectivity is of these texts, too. Both are
+    counted, not timed, and so the same in each run over the same sample. `known` measures cost nothing at all; ties keep the order given.
     """
     sample = sample_of(docs, text)
     if sample is None:
         return list(rules)
     measures = {m: MEASURES[m].of(F.col("text")) for m in dict.fromkeys(n for r in rules for n in r.needs)}
-    told = sample.select(F.length("text").alias("size"), *[x.alias(m) for m, x in measures.items()])
-    told = told.select("size", *[F.coalesce(r.fails({m: F.col(m) for m in r.needs}), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
-    left, order, have, rest = told, [], set(known), list(range(len(rules)))
+    counts = {f"c_{c}": f(F.col("text")).cast("long") for c, f in COUNTS.items()}
+    told = sample.select(*[x.alias(c) for c, x in counts.items()], *[x.alias(m) for m, x in measures.items()])
+    told = told.select(*counts, *[F.coalesce(r.fails({m: F.col(m) for m in r.needs}), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
+    each = [{c: t[f"c_{c}"] for c in COUNTS} for t in told]
+    steps = [{m: MEASURES[m].steps(c) for m in measures} for c in each]
+    left, order, have, rest = list(zip(told, steps, strict=True)), [], set(known), list(range(len(rules)))
     while rest:
-        volume = sum(t["size"] for t in left) + len(left) + 1
-        cost = {i: volume * (0.05 + sum(MEASURES[m].cost for m in rules[i].needs if m not in have)) for i in rest}
-        best = max(rest, key=lambda i: (sum(t[f"r{i}"] for t in left) / cost[i], -cost[i], -i))  # noqa: B023
+        # A rule takes a step of its own for each text.
+        cost = {i: 1 + sum(1 + sum(s[m] for m in rules[i].needs if m not in have) for _, s in left) for i in rest}
+        best = max(rest, key=lambda i: (sum(t[f"r{i}"] for t, _ in left) / cost[i], -cost[i], -i))  # noqa: B023
         order.append(rules[best])
         have |= set(rules[best].needs)
-        left = [t for t in left if not t[f"r{best}"]]
+        left = [(t, s) for t, s in left if not t[f"r{best}"]]
         rest.remove(best)
     return order
 
