@@ -185,8 +185,8 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: boo
     """(query_id, id, similarity, rank): for each row of `queries` the k nearest others in its `probes` nearest lists.
 
     `queries` has the index's key and vector. An exact search then also reads all lists that by their bounds could hold a
-    nearer row, or any if fewer than k were found, and so returns what a comparison with all rows would. `where` is made by
-    `predicate`. With `payload` the other columns of what was found are joined.
+    nearer row, or any if fewer than k were found, and so returns what a comparison with all rows would. What a search that is
+    not exact finds depends on the data: `probes_for` measures how many lists it takes. `where` is made by `predicate`. With `payload` the other columns of what was found are joined.
     """
     asked = queries.where(_directed(index.vector)).select(F.col(index.key).alias("query_id"), F.col(index.vector).alias("q_vector"))
     ranked = _ranked(asked, index.centres)
@@ -209,3 +209,18 @@ def recall(found: DataFrame, truth: DataFrame) -> float:
     pairs = truth.select("query_id", "id").distinct()
     hit, n = pairs.join(found.select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left").agg(F.count("_hit"), F.count("*")).first()
     return hit / n if n else 1.0
+
+
+def probes_for(index: Index, queries: DataFrame, k: int, least: float = 0.9, tries: int = 256) -> int:
+    """How many lists a search has to read to find `least` of what an exact one finds, doubling from one; all, at the most.
+
+    Measured on at most `tries` of the queries, chosen by hash. What suffices depends on the data: where vectors are spread
+    evenly, it is most lists.
+    """
+    few = cut(queries.where(_directed(index.vector)).select(index.key, index.vector).orderBy(F.xxhash64(index.key), index.key).limit(tries))
+    lists = index.centres.count()
+    truth = cut(search(index, few, k, exact=True))
+    probes = 1
+    while probes < lists and recall(search(index, few, k, probes), truth) < least:
+        probes *= 2
+    return max(1, min(probes, lists))

@@ -79,3 +79,13 @@ def test_empty(rows):
     index = vi.build(rows.limit(0))
     assert vi.search(index, rows, 3, exact=True).count() == 0
     assert vi.recall(vi.search(index, rows, 3), rows.limit(0).select(F.col("id").alias("query_id"), "id")) == 1.0
+
+
+def test_probes_are_measured(spark, rows):
+    index = vi.build(rows, 30)
+    asked = rows.where("id % 10 = 0")
+    probes = vi.probes_for(index, asked, 5, 0.95)
+    truth = vi.search(index, asked, 5, exact=True)
+    assert vi.recall(vi.search(index, asked, 5, probes), truth) >= 0.95
+    assert probes == 1 or vi.recall(vi.search(index, asked, 5, probes // 2), truth) < 0.95
+    assert vi.probes_for(vi.build(rows.limit(0)), rows, 5) == 1
