@@ -14,6 +14,9 @@ equal meets under its anchor, and the steps are (see `blocks` for how blocks and
 An anchor in HOT or more documents may have as many different stretches, so its strings go one by one, each as its own
 anchor: equal ones are one row per block, and no anchor's stretches are unbounded in number.
 
+Hashes only bring rows together. Rows of one hash count as equal if their bytes are; others stay rows of their own under
+the anchor, and the suffix array settles them.
+
 The suffix array is built by grouping: suffixes start in groups by their first byte. Groups are taken in descending
 order, and each suffix points to the nearest one before it in a group not yet taken; those move to a new group just above
 their old one, the higher the more suffixes of the group point to them. In the end each group holds the suffixes with one
@@ -22,7 +25,7 @@ whose next smaller one has just been reached at the head of what is left of its
 
 Defined cases: null or empty text has no bytes; a text shorter than LENGTH keeps all; a doc_id names one document, so rows
 that repeat it remove nothing from each other; a null doc_id counts as greater than all others; an empty table gives an
-empty table; other columns are dropped; a doc_id has to be a number. Anchors and stretches are told apart by 64-bit hashes, strings by their bytes.
+empty table; other columns are dropped; a doc_id has to be a number.
 """
 
 from __future__ import annotations
@@ -178,7 +181,7 @@ class _Block:
         return mixed(grams[chosen[new]] ^ _ANCHOR), whole, at + base, strings
 
     def repeated(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Occurrences (anchor, hash, place, strings, doc) that can repeat, sorted by anchor, hash and doc.
+        """Occurrences (anchor, place, strings, doc) that can repeat, sorted by anchor, hash and doc, and where equal ones begin.
 
         `codes` has a number for each distinct anchor: 0 no, 1 yes, 2 string by string.
         """
@@ -199,7 +202,8 @@ class _Block:
         strings = np.concatenate((self.strings[some], np.ones(len(at), np.int64)))
         doc = np.concatenate((self.doc[some], np.repeat(self.doc[hot], many)))
         order = np.lexsort((whole, anchor))  # stable: documents stay in ascending order
-        return anchor[order], whole[order], place[order], strings[order], doc[order]
+        anchor, place, strings = anchor[order], place[order], strings[order]
+        return anchor, place, strings, doc[order], _kinds(self.data, place, strings + LENGTH - 1, anchor, whole[order])
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -211,6 +215,23 @@ def _new(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
+def _kinds(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from those before in a key or in their bytes, which are `size` of `data` from `begin` on."""
+    new = np.zeros(len(begin), bool)
+    new[_new(size, *keys)] = True
+    same = np.flatnonzero(~new)
+    if len(same):
+        # Eight bytes at a time, from any place; a row has LENGTH at least, and its last eight may overlap those before.
+        wide = np.ndarray(len(data) - 7, np.uint64, data, strides=1)
+        here, before, last = begin[same], begin[same - 1], size[same] - 8
+        other = np.zeros(len(same), bool)
+        for j in range(0, int(size[same].max()), 8):
+            at = np.minimum(j, last)
+            other |= wide[here + at] != wide[before + at]
+        new[same] = other
+    return np.flatnonzero(new)
+
+
 _FIRST = "bucket int, block int, n int, anchors binary, docs binary"
 _ANSWER = "block int, bucket int, n int, answer binary"
 _SECOND = "bucket int, block int, n int, anchors binary, strings binary, docs binary, least decimal(20,0), data binary"
@@ -280,8 +301,7 @@ def _send(buckets: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         b, codes = _Block(docs), _codes(answers)
-        anchor, whole, place, strings, doc = b.repeated(codes)
-        first = _new(anchor, whole)  # with the least document
+        anchor, place, strings, doc, first = b.repeated(codes)  # the first has the least document
         anchor, place, strings, doc = anchor[first], place[first], strings[first], doc[first]
         full, at = cuts(anchor, buckets)
         block = docs.column("block")[0].as_py()
@@ -328,7 +348,7 @@ def _earlier(t: pa.Table) -> pa.Table:
         has = size > j
         whole[has] += (data[begin[has] + j].astype(U64) + U64(1)) * powers[j]
     order = np.lexsort((doc, whole, anchor))
-    kinds = _new(anchor[order], whole[order])  # different stretches; the first of each has its least document
+    kinds = _kinds(data, begin[order], size[order], anchor[order], whole[order])  # different stretches; the first of each has its least document
     kind = np.empty(len(order), np.int64)
     kind[order] = np.repeat(np.arange(len(kinds)), np.diff(np.append(kinds, len(order))))
     model = order[kinds]
@@ -366,9 +386,8 @@ def _apply(keep: bool):
         b, answers = _Block(docs), answers.sort_by("bucket")
         found = [from_planes(d, k) for d, k in zip(answers.column("answer").to_pylist(), answers.column("n").to_pylist(), strict=True)]
         bits = np.concatenate([*found[1:], np.zeros(0, np.uint64)])
-        anchor, whole, place, strings, doc = b.repeated(found[0])
-        first = _new(anchor, whole)
-        many = np.diff(np.append(first, len(anchor)))
+        _, place, strings, doc, first = b.repeated(found[0])
+        many = np.diff(np.append(first, len(place)))
         # Where a document of the block itself has the stretch earlier, all of its strings repeat.
         bits = np.where(doc > np.repeat(doc[first], many), _LAST, np.repeat(bits, many))
         whole_bits = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
