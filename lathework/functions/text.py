@@ -17,9 +17,14 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def clean_title(title: Column, outlet: str) -> Column:
-    """White space collapsed, and the outlet's name behind dashes taken off, however often it stands there."""
-    return F.regexp_replace(F.trim(F.regexp_replace(title, r"\s+", " ")), rf"( - \Q{outlet}\E)+$", "")
+def clean_title(title: Column, outlet: str | Column) -> Column:
+    """White space collapsed, and the outlet's name behind dashes taken off, however often it stands there; no name, nothing."""
+    bare = F.trim(F.regexp_replace(title, r"\s+", " "))
+    if isinstance(outlet, str):
+        return F.regexp_replace(bare, rf"( - \Q{outlet}\E)+$", "")
+    name = F.trim(F.coalesce(outlet, F.lit("")))
+    quoted = F.concat(F.lit("( - \\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)+$"))
+    return F.when(name == "", bare).otherwise(F.regexp_replace(bare, quoted, F.lit("")))
 
 
 def clip(text: Column, most: int) -> Column:
