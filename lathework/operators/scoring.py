@@ -45,7 +45,8 @@ def _asked(rows: DataFrame, key: str, order: list[Column], judge: Judge, size: i
         except Exception as e:  # whatever a judge does wrong, other batches go on
             note = f"{type(e).__name__}: {e}"[:200]
             return pd.DataFrame({key: batch[key], "score": [None] * len(batch), "note": [note] * len(batch)})
-        return pd.DataFrame({key: batch[key].iloc[list(found)], "score": list(found.values()), "note": [None] * len(found)})
+        rows = batch[[key]].iloc[list(found)]
+        return rows.assign(score=list(found.values()), note=pd.Series(None, rows.index, object))  # a list of no notes would count as numbers
 
     placed = numbered(rows, order, "_number")
     placed = placed.withColumns({"_batch": F.floor(F.col("_number") / size), "no": (F.col("_number") % size).cast("int")}).drop("_number")
@@ -68,3 +69,8 @@ def judged(rows: DataFrame, key: str, order: list[Column], judge: Judge, size: i
     spare = F.when(failed, fallback.cast("double")) if fallback is not None else F.lit(None).cast("double")
     how = F.when(F.col("_a").isNotNull(), "first").when(F.col("_b").isNotNull(), "retry").when(spare.isNotNull(), "fallback")
     return met.select(*rows.columns, F.coalesce("_a", "_b", spare).alias("score"), how.alias("judged"), F.when(F.col("_a").isNull(), F.coalesce("_bn", "_an")).alias("note"))
+
+
+def scorer(judge: Judge, key: str, order: list[Column], size: int = 60, fallback: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """`judged` as a step of a plan that takes rows and gives them with a score, such as `plans.announcements.monitor`."""
+    return lambda rows: judged(rows, key, order, judge, size, fallback)

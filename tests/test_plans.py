@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from lathework.operators import scoring
 from lathework.plans import announcements as a
 from lathework.plans import retrieval
 from lathework.sinks import render, tables
@@ -41,6 +43,27 @@ def test_monitor(spark):
     assert empty.new.collect() == empty.reminders.collect() == empty.deferred.collect() == []
 
 
+def stub(batch):
+    """Scores by the title; passes over one row, and fails on a batch with another."""
+    if batch["title"].str.contains("나래").any():
+        raise ValueError("overloaded")
+    batch = batch[~batch["title"].str.contains("라온")]
+    return pd.DataFrame({"no": batch["no"], "score": [0.9 if "AI" in t else 0.1 for t in batch["title"]]})
+
+
+def test_monitor_with_a_judge_of_batches(spark):
+    rows = [row(1, "가온 AI 실증 지원사업"), row(2, "나래 AI 바우처"), row(3, "다솜 소프트웨어 융합"), row(4, "라온 클라우드 보급"), row(5, "마루 AI 학교")]
+    index, seen = spark.createDataFrame([], a.INDEX), spark.createDataFrame([], a.SEEN)
+    for fallback, parts in ((None, "unscored"), (F.lit(0.7), "new")):
+        score = scoring.scorer(stub, "key", [F.col("ord")], 1, fallback)
+        out = a.monitor(spark.createDataFrame(rows, a.ANNOUNCEMENT), index, seen, day(), score)
+        got = {r.ord: (r.part, r.judged, r.note) for r in out.judged.collect()}
+        failed = (parts, fallback is not None and "fallback" or None, "ValueError: overloaded")
+        assert got == {1: ("new", "first", None), 2: failed, 3: ("below", "first", None), 4: ("unscored", None, None), 5: ("new", "first", None)}
+        # What a judge did not answer is no rejection: it is asked again in the next run.
+        assert {r.key for r in a.seen_changes(out.judged, day()).collect()} == {"nipa_3"}
+
+
 def test_retrieval(spark):
     rows = spark.createDataFrame([(i, "nipa" if i < 2 else "bizinfo", [1.0, float(i)], at("2031-03-11") if i % 2 else None) for i in range(8)], "id int, source string, v array<float>, deadline timestamp_ntz")
     found = retrieval.retrieve(rows, rows.where("id IN (0, 7)"), "id", "v", 5, retrieval.predicate("니파 공고"))
