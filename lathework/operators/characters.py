@@ -1,11 +1,13 @@
 """Pairs of short texts of a low in-order ratio, none of them lost.
 
 The ratio of two strings is twice their common characters, in order, over both lengths. Strings of a ratio of 0.6 need not
-share a pair of neighbours, but they share characters: 0.3 times both lengths at least, each occurrence counted. A text's
-tokens are its characters, numbered by occurrence and ordered by how rare they are in the corpus. Two texts with so many in
-common have one in common among the first of each order (a prefix filter), so texts meet by tokens in their prefixes.
-Before the ratio is computed a pair has to pass what the lengths allow, what the places of the first common token leave
-possible, and the number of common tokens, all of which the ratio needs as well.
+share a pair of neighbours, but they share characters in one order: 0.3 times both lengths at least. A text's characters
+are ranked by how rare they are in the corpus, equal ones by their places. What two texts leave out is bounded, so the two
+rarest characters that they have in common in order stand among the first of each ranking (a prefix filter), and texts
+meet by pairs of ranked characters, each pair as it stands in the text. Texts of one length have the shortest prefixes, so
+they meet apart from texts of different lengths. Very short and long texts meet by single characters.
+Before a pair is looked up it has to pass a bound of its common characters by bits, and before the ratio is computed the
+number of common characters, each occurrence counted, all of which the ratio needs as well.
 """
 
 from __future__ import annotations
@@ -32,31 +34,73 @@ def _shared(both: Column, least: float) -> Column:
     return F.ceil(F.lit(least / 2) * both - 1e-9)
 
 
+#: Texts of more characters meet by single ones, since pairs would be too many.
+PAIRED = 64
+#: Words of 64 bits that tell which characters a text has.
+WORDS = 4
+
+
 def _ordered(rows: DataFrame, text: str) -> DataFrame:
-    """(id, text, size, tokens): the tokens of each text, the rarest first."""
-    chars = numbered(F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0)))
-    each = cut(rows.select("id", text, F.length(text).alias("size"), chars.alias("tokens")))
-    told = each.select("id", F.explode("tokens").alias("token"))
-    known = told.groupBy("token").agg(F.count("*").alias("n"))
-    order = told.join(known.hint("merge"), "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
-    return each.join(order.hint("merge"), "id").select("id", text, "size", F.transform("order", lambda t: t["token"]).alias("tokens"))
+    """(id, text, size, tokens, spare, bits, order): distinct hashes of the numbered characters, how many more there are, bits, and (char, at), the rarest first."""
+    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
+    tokens = F.transform(numbered(chars), lambda t: F.hash(t))
+    each = rows.select("id", text, chars.alias("chars"), F.array_distinct(tokens).alias("tokens")).withColumn("size", F.size("chars"))
+    each = cut(each.withColumn("spare", F.col("size") - F.size("tokens")))
+    told = each.select("id", F.posexplode("chars").alias("at", "char"))
+    known = told.groupBy("char").agg(F.count("*").alias("n"))
+    order = told.join(known.hint("merge"), "char").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "char", "at"))).alias("order"))
+    one = lambda w: F.aggregate("tokens", F.lit(0).cast("bigint"), lambda s, t: F.when(F.pmod(t, F.lit(WORDS)) == w, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(t, 8), F.lit(64))))).otherwise(s))
+    bits = F.struct(*[one(w).alias(f"w{w}") for w in range(WORDS)])
+    return each.join(order.hint("merge"), "id").select("id", text, "size", "tokens", "spare", bits.alias("bits"), "order")
+
+
+def _keys(length: Column, paired: bool, tag: Column) -> Column:
+    """Hashes of the pairs, as they stand in the text, or of the single ones of the first `length` characters in order."""
+    prefix = F.slice("order", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    if not paired:
+        return F.array_distinct(F.transform(prefix, lambda p: F.xxhash64(tag, p["char"])))
+    key = lambda p, q: F.when(p["at"] < q["at"], F.xxhash64(tag, p["char"], q["char"])).otherwise(F.xxhash64(tag, q["char"], p["char"]))
+    rest = lambda p, i: F.transform(F.slice(prefix, i + 2, F.size(prefix)), lambda q: key(p, q))
+    return F.array_distinct(F.flatten(F.transform(prefix, rest)))
+
+
+def _met(left: DataFrame, right: DataFrame, where: Column, least: float) -> DataFrame:
+    """(a, b): the ids of rows that share a key and may have enough characters in common by their bits."""
+    side = lambda rows, s: rows.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(f"bits.w{w}").alias(f"{s}_w{w}") for w in range(WORDS)], F.explode("keys").alias("key"))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}_w{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}_w{w}")))) for w in range(WORDS)), F.lit(0))
+    need = _shared(F.col("a_size") + F.col("b_size"), least)
+    held = where & (F.col("a_size") - lacks("a", "b") >= need) & (F.col("b_size") - lacks("b", "a") >= need)
+    return side(left, "a").join(side(right, "b").hint("merge"), "key").where(held).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """(a, b): the ids, each pair once, that meet by what the shorter one's length asks for."""
+    size = F.col("size")
+    prefix = lambda both, paired: size - _shared(both, least) + (2 if paired else 1)
+    # By pairs of characters if two have to be in common with any longer text.
+    by_pairs = lambda n: (_shared(2 * n, least) >= 2) & (n <= PAIRED)
+    longest = ordered.agg(F.max("size")).first()[0] or 0  # one number
+    shorter, shortest = ordered.where(size < longest), F.ceil(size * (least / (2 - least)) - 1e-9)
+    found = None
+    for paired in (True, False):
+        kind = lambda n: by_pairs(n) if paired else ~by_pairs(n)  # noqa: B023, E731
+        same = ordered.where(kind(size)).withColumn("keys", _keys(prefix(2 * size, paired), paired, size))
+        lower = shorter.where(kind(size)).withColumn("keys", _keys(prefix(2 * size + 1, paired), paired, F.lit(0)))
+        # A longer text meets those whose length, of the ones that it may be alike to, is of this kind.
+        may = F.exists(F.sequence(shortest.cast("int"), size - 1), kind)
+        upper = ordered.where((shortest < size) & may).withColumn("keys", _keys(prefix(size + shortest, paired), paired, F.lit(0)))
+        met = _met(same, same, (F.col("a") < F.col("b")) & (F.col("a_size") == F.col("b_size")), least)
+        met = met.unionByName(_met(lower, upper, F.col("a_size") < F.col("b_size"), least))
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def candidates(rows: DataFrame, text: str, least: float) -> DataFrame:
-    """(a, b): pairs of structs (id, text, size, tokens), a.id < b.id, that may have the ratio `least`. `rows` has unique `id`s."""
+    """(a, b): pairs of structs (id, text, size, tokens, spare), a.id < b.id, that may have the ratio `least`. `rows` has unique `id`s."""
     ordered = cut(_ordered(rows.where(F.length(text) > 0), text))
-    shortest = F.ceil(F.col("size") * (least / (2 - least)) - 1e-9)
-    prefix = F.slice("tokens", F.lit(1), (F.col("size") - _shared(F.col("size") + shortest, least) + 1).cast("int"))
-    posted = lambda side: ordered.select(F.struct("id", F.col(text).alias("text"), "size", "tokens").alias(side), F.posexplode(prefix).alias(f"{side}_at", "token"))
-    met = posted("a").join(posted("b").hint("merge"), "token").where("a.id < b.id")
-    both, shorter = F.col("a.size") + F.col("b.size"), F.least("a.size", "b.size")
-    need = _shared(both, least)
-    left = F.least(F.col("a.size") - F.col("a_at"), F.col("b.size") - F.col("b_at"))
-    met = met.where((shorter >= need) & (left >= need))
-    # A pair that shares several tokens is kept at the first alone.
-    before = lambda side: F.slice(f"{side}.tokens", F.lit(1), F.col(f"{side}_at"))
-    met = met.where(~F.arrays_overlap(before("a"), before("b")))
-    return met.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= need).select("a", "b")
+    known = lambda side: ordered.select(F.struct("id", F.col(text).alias("text"), "size", "tokens", "spare").alias(f"_{side}"), F.col("id").alias(side))
+    met = _pairs(ordered, least).join(known("a").hint("merge"), "a").join(known("b").hint("merge"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return met.where(F.size(F.array_intersect("a.tokens", "b.tokens")) + F.col("a.spare") >= _shared(F.col("a.size") + F.col("b.size"), least))
 
 
 def alike(rows: DataFrame, text: str, least: float) -> DataFrame:

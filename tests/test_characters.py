@@ -72,3 +72,19 @@ def test_articles_in_order(spark):
     assert sorted(r.id for r in got.collect()) == [r[0] for r in unique if r[0] not in gone]
     assert len(gone) > 10
     assert dedupe.distinct_articles(frame.limit(0), "id", "title", F.lit(True)).collect() == []
+
+
+def test_few_meet_in_prose(spark):
+    """Titles of 30 words, as frequent as in prose and many with one first sentence: few pairs are looked up, and no alike one is lost."""
+    r = random.Random(6)
+    weights = [1 / (k + 1) for k in range(len(HANGUL))]
+    head = r.choices(HANGUL, weights, k=10)
+    titles = ["".join((head if k % 5 == 0 else [])[:10] + r.choices(HANGUL, weights, k=20 if k % 5 == 0 else 30)) for k in range(400)]
+    titles += [t[:24] + "가나다"[: k % 4] for k, t in enumerate(titles[:60])]
+    rows = list(enumerate(dict.fromkeys(titles)))
+    frame = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if SequenceMatcher(None, x, y).ratio() >= 0.6}
+    met = {tuple(p) for p in characters._pairs(characters._ordered(frame, "t"), 0.6).collect()}
+    assert want <= met
+    assert len(met) < len(rows) * (len(rows) - 1) / 2 * 0.2
+    assert {tuple(p) for p in characters.alike(frame, "t", 0.6).collect()} == want
