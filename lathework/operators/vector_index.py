@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathework.functions.numbers import dot, norm
+from lathework.functions.numbers import norm
 from lathework.operators.lineage import cut
 from lathework.operators.ranking import quota
 
@@ -32,6 +33,8 @@ SAMPLE = 1 << 15
 LISTS_MOST = 4096
 #: Rows of a list that one task compares with a query; longer lists are parted.
 PART = 1 << 16
+#: Queries that a task compares with a part of a list at once, about; and cells of a matrix of similarities.
+QUERIES, CELLS = 1 << 13, 1 << 22
 #: Room for rounding between angles of a bound and similarities.
 SLACK = 1e-6
 
@@ -170,15 +173,68 @@ def _ranked(queries: DataFrame, centres: DataFrame) -> DataFrame:
     return queries.withColumn("near", near("q_vector"))
 
 
+def _ordered_dot(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The dots of rows with the same rows of others, summed in the order of `numbers.dot`, so with its rounding."""
+    out = np.zeros(len(rows))
+    for i in range(rows.shape[1]):
+        out += rows[:, i] * others[:, i]
+    return out
+
+
+def _nearest(key: str, vector: str, k: int):
+    """A function of the rows and the queries of one part of a list: (query_id, id, similarity) of each query's k nearest in it.
+
+    Products of blocks tell which rows may be among the k; these alone get their similarity as `numbers.dot` has it.
+    """
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, asking = rows[key].to_numpy(zero_copy_only=False), asked["query_id"].to_numpy(zero_copy_only=False)
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(ids) and len(asking):
+            held, wanted = _matrix(rows[vector]), _matrix(asked["q_vector"])
+            held_norm, wanted_norm = np.sqrt(_ordered_dot(held, held)), np.sqrt(_ordered_dot(wanted, wanted))
+            unit = (held / held_norm[:, None]).T
+            step = max(1, CELLS // len(ids))
+            for at in range(0, len(asking), step):
+                near = (wanted[at : at + step] / wanted_norm[at : at + step, None]) @ unit
+                near[asking[at : at + step, None] == ids[None, :]] = -np.inf
+                least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(near), -2.0)
+                q, r = np.nonzero(near >= np.maximum(least - SLACK, -2.0)[:, None])
+                # Of each query's rows in turn, as many copies of one vector may be in reach.
+                for some in np.array_split(np.arange(len(q)), len(q) * held.shape[1] // CELLS + 1):
+                    alike = _ordered_dot(wanted[at + q[some]], held[r[some]]) / (wanted_norm[at + q[some]] * held_norm[r[some]])
+                    order = np.lexsort((ids[r[some]], -alike, q[some]))
+                    sorted_q = q[some][order]
+                    rank = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q)
+                    best = order[rank < k]
+                    for column, values in zip(out, (asking[at + q[some][best]], ids[r[some][best]], alike[best]), strict=True):
+                        column.append(values)
+        made = [np.concatenate(c) if c else np.array([]) for c in out]
+        kinds = [asked.schema.field("query_id").type, rows.schema.field(key).type, pa.float64()]
+        return pa.table([pa.array(m).cast(t) for m, t in zip(made, kinds, strict=True)], ["query_id", "id", "similarity"])
+
+    return compare
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
 def _compared(index: Index, asked: DataFrame, k: int, where: Column | None) -> DataFrame:
-    """(query_id, id, similarity) of the k nearest within the lists asked for, long lists part by part."""
+    """(query_id, id, similarity) of the k nearest within the lists asked for, long lists part by part, many queries in shares."""
     parts = F.broadcast(index.centres.select("list", "parts"))
     asked = asked.select("query_id", "q_vector", "list").join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    rows = index.lists.where(where) if where is not None else index.lists
-    met = rows.join(asked, ["list", "part"]).where(F.col("query_id") != F.col(index.key))
-    near = dot(F.col("q_vector"), F.col(index.vector)) / (norm(F.col("q_vector")) * norm(F.col(index.vector)))
-    scored = met.select("query_id", F.col(index.key).alias("id"), near.alias("similarity"))
-    return quota(scored, ["query_id"], [F.col("similarity").desc(), F.col("id")], k).drop("rank")
+    counted = asked.groupBy("list", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
+    rows = index.lists.where("list >= 0")
+    rows = (rows.where(where) if where is not None else rows).select("list", "part", index.key, index.vector)
+    rows = rows.join(F.broadcast(counted), ["list", "part"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    asked = asked.join(F.broadcast(counted), ["list", "part"]).withColumn("share", F.pmod(F.xxhash64(F.lit("share"), "query_id"), F.col("shares")).cast("int")).drop("shares")
+    by = ["list", "part", "share"]
+    key, kind = index.key, index.lists.schema
+    met = rows.groupBy(*by).cogroup(asked.groupBy(*by))
+    found = met.applyInArrow(_nearest(key, index.vector, k), f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {kind[key].dataType.simpleString()}, similarity double")
+    return quota(found, ["query_id"], [F.col("similarity").desc(), F.col("id")], k).drop("rank")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: bool = False, where: Column | None = None, payload: bool = False) -> DataFrame:

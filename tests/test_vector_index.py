@@ -89,3 +89,20 @@ def test_probes_are_measured(spark, rows):
     assert vi.recall(vi.search(index, asked, 5, probes), truth) >= 0.95
     assert probes == 1 or vi.recall(vi.search(index, asked, 5, probes // 2), truth) < 0.95
     assert vi.probes_for(vi.build(rows.limit(0)), rows, 5) == 1
+
+
+def test_blocks_and_copies(spark, rows, monkeypatch):
+    """Small blocks, shares of queries and more copies of a vector than are asked for: the first ids of equal ones are found."""
+    monkeypatch.setattr(vi, "PART", 40)
+    monkeypatch.setattr(vi, "QUERIES", 7)
+    monkeypatch.setattr(vi, "CELLS", 100)
+    copied = rows.where("id = 3").select((F.explode(F.sequence(F.lit(2000), F.lit(2059)))).alias("id"), "v", "kind", "text")
+    table = vi.with_roles(rows.select("id", "v", "kind", "text").unionByName(copied.select(F.col("id").cast("long"), "v", "kind", "text")), "id", "v", ["kind"])
+    asked = table.where("id % 10 = 3 AND id < 900 OR id = 2059")
+    found = vi.search(vi.build(table, 9), asked, 5, probes=1, exact=True)
+    got = pairs(found)
+    assert {i for q, i in got if q == 3} == {2000, 2001, 2002, 2003, 2004}
+    assert {i for q, i in got if q == 2059} == {3, 2000, 2001, 2002, 2003}
+    plain = brute(rows, [q for q in range(13, 900, 10)], 5)
+    alone = {q for q, i in plain} - {q for q, i in plain if i == 3}
+    assert {p for p in got if p[0] in alone} == {p for p in plain if p[0] in alone}
