@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 NODE = StructType([
     StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("depth", IntegerType()), StructField("tag", StringType()),
@@ -97,15 +99,36 @@ def page_nodes(page: str | None) -> list[dict]:
     return parser.rows
 
 
-@F.pandas_udf(ArrayType(NODE))
-def _nodes(pages: pd.Series) -> pd.Series:
-    return pages.map(page_nodes)
+#: Nodes of an Arrow batch that the opening of markup returns, about; a page's are not parted between two.
+NODES = 1 << 14
+
+
+def _opened(batch: pa.RecordBatch, html: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch for each of their nodes, some pages at a time, so that memory does not grow with the batch."""
+    kept = [i for i, name in enumerate(batch.schema.names) if name != html]
+    pages = batch.column(batch.schema.get_field_index(html))
+    at: list[int] = []
+    rows: list[dict] = []
+    for k in range(len(pages)):
+        nodes = page_nodes(pages[k].as_py())
+        at.extend([k] * len(nodes))
+        rows.extend(nodes)
+        if rows and (len(rows) >= NODES or k == len(pages) - 1):
+            where = pa.array(at, pa.int64())
+            columns = [pa.array([r[f.name] if f.name != "attributes" else list(r[f.name].items()) for r in rows], to_arrow_type(f.dataType)) for f in NODE]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(where) for i in kept] + columns, [batch.schema.names[i] for i in kept] + NODE.names)
+            at, rows = [], []
 
 
 def node_rows(pages: DataFrame, html: str) -> DataFrame:
     """The columns of `pages` but the markup, and (begin, end, depth, tag, path, attributes, text), a row for each node."""
-    kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.explode(_nodes(html)).alias("_node")).select(*kept, "_node.*")
+    kept = [f for f in pages.schema.fields if f.name != html]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _opened(batch, html)
+
+    return pages.mapInArrow(opened, StructType([*kept, *NODE.fields]))
 
 
 _STEP = re.compile(r"([a-z0-9]+|\*)?((?:\.[^\s.#:>]+)*)(#[^\s.#:>]+)?(?::(\d+))?\Z")
@@ -125,17 +148,24 @@ def selector(path: str) -> str:
     return f"^{pattern}"
 
 
+def _selected(path: str) -> Column:
+    """That an element is one of those which a selector takes; its tag is asked first, as a pattern costs more."""
+    last = re.search(r"([a-z0-9]+)[^\s>]*\Z", path.split()[-1].split(">")[-1])
+    fits = F.col("path").rlike(f"{selector(path)}$")
+    return (F.col("tag") == last[1]) & fits if last and path.split()[-1].split(">")[-1].startswith(last[1]) else fits
+
+
 def _text(matches: Column) -> Column:
     """The texts of the nodes that match, in order, white space collapsed."""
-    found = F.sort_array(F.collect_list(F.when(matches & (F.col("tag") == "#text"), F.struct("begin", "text"))))
+    found = F.sort_array(F.collect_list(F.when((F.col("tag") == "#text") & matches, F.struct("begin", "text"))))
     return F.trim(F.regexp_replace(F.array_join(F.transform(found, lambda t: t["text"]), " "), r"(?U)\s+", " "))
 
 
 def _around(page: list[str], kinds: dict[str, str]) -> Column:
     """The element of one of the kinds (name: selector) that has begun last in a page: (begin, end, size of its path, kind)."""
-    kind = F.coalesce(*[F.when(F.col("path").rlike(f"{selector(s)}$"), F.lit(k)) for k, s in kinds.items()])
-    one = F.struct("begin", "end", F.length("path").alias("size"), kind.alias("kind"))
-    return F.last(F.when((F.col("tag") != "#text") & kind.isNotNull(), one), ignorenulls=True).over(Window.partitionBy(*page).orderBy("begin"))
+    one = lambda k: F.struct("begin", "end", F.length("path").alias("size"), F.lit(k).alias("kind"))
+    own = F.coalesce(*[F.when(_selected(s), one(k)) for k, s in kinds.items()])
+    return F.last(F.when(F.col("tag") != "#text", own), ignorenulls=True).over(Window.partitionBy(*page).orderBy("begin"))
 
 
 @dataclass(frozen=True)
@@ -154,7 +184,7 @@ class Field:
 
 def _each(element: Column) -> Column:
     """(path, text) of the elements, in order, whose paths are `element` in the rows of their texts."""
-    found = F.sort_array(F.collect_list(F.when((element != "") & (F.col("tag") == "#text"), F.struct("begin", element.alias("path"), "text"))))
+    found = F.sort_array(F.collect_list(F.when((F.col("tag") == "#text") & (element != ""), F.struct("begin", element.alias("path"), "text"))))
     text = lambda p: F.array_join(F.transform(F.filter(found, lambda t: t["path"] == p), lambda t: t["text"]), " ")
     squeezed = lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
     return F.transform(F.array_distinct(F.transform(found, lambda t: t["path"])), lambda p: F.struct(p.alias("path"), squeezed(text(p)).alias("text")))
@@ -179,24 +209,42 @@ def records(nodes: DataFrame, page: list[str], row: str, fields: dict[str, Field
     return inside.groupBy(*page, F.col("_r.begin").alias("position")).agg(*made)
 
 
-def pairs(nodes: DataFrame, page: list[str], label: str, value: str) -> DataFrame:
-    """(columns of page, position, label, value): each element that `value` selects, if the one before it is of `label` and in the same element."""
-    inside = nodes.withColumn("_r", _around(page, {"label": label, "value": value})).where("end <= _r.end")
-    each = inside.groupBy(*page, F.col("_r.begin").alias("position"), F.col("_r.kind").alias("_kind")).agg(
+def _beside(nodes: DataFrame, page: list[str], kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """(columns of page, name, position, label, value) of `pairs` of several kinds (name: label, value), over one sort of a page's nodes."""
+    wanted = F.col("tag") == "#text"
+    for selectors in kinds.values():
+        wanted = wanted | _selected(selectors[0]) | _selected(selectors[1])
+    around = {name: _around(page, {"label": label, "value": value}) for name, (label, value) in kinds.items()}
+    found = nodes.select(*page, "begin", "end", "tag", "path", "text").where(wanted)
+    found = found.withColumn("_k", F.array(*[F.struct(F.lit(name).alias("name"), r.alias("r")) for name, r in around.items()]))
+    inside = found.withColumn("_k", F.explode(F.filter("_k", lambda k: F.col("end") <= k["r"]["end"]))).withColumns({"name": F.col("_k.name"), "_r": F.col("_k.r")})
+    each = inside.groupBy(*page, "name", F.col("_r.begin").alias("position"), F.col("_r.kind").alias("_kind")).agg(
         _text(F.lit(True)).alias("value"), F.min(F.when(F.col("begin") == F.col("_r.begin"), F.regexp_replace("path", "/[^/]*$", ""))).alias("_parent")
     )
-    order = Window.partitionBy(*page).orderBy("position")
+    order = Window.partitionBy(*page, "name").orderBy("position")
     beside = (F.lag("_kind").over(order) == "label") & (F.lag("_parent").over(order) == F.col("_parent"))
     each = each.withColumn("label", F.when(beside, F.lag("value").over(order)))
-    return each.where("_kind = 'value' and label is not null").select(*page, "position", "label", "value")
+    return each.where("_kind = 'value' and label is not null").select(*page, "name", "position", "label", "value")
+
+
+def pairs(nodes: DataFrame, page: list[str], label: str, value: str) -> DataFrame:
+    """(columns of page, position, label, value): each element that `value` selects, if the one before it is of `label` and in the same element."""
+    return _beside(nodes, page, {"pairs": (label, value)}).drop("name")
+
+
+def all_details(nodes: DataFrame, page: list[str], kinds: dict[str, tuple[str, str]], first: bool = False) -> DataFrame:
+    """(columns of page, a map by name) of `details` of several kinds (name: label, value); null where a page has none of a kind."""
+    told = _beside(nodes, page, kinds).where("label <> ''")
+    one = F.min_by("value", F.when(F.col("value") != "", F.col("position"))) if first else F.max_by("value", "position")
+    last = told.groupBy(*page, "name", "label").agg(F.coalesce(one, F.lit("")).alias("value"))
+    held = lambda name: F.collect_list(F.when(F.col("name") == name, F.struct("label", "value")))
+    made = last.groupBy(*page).agg(*[F.sort_array(held(name)).alias(name) for name in kinds])
+    return made.select(*page, *[F.when(F.size(name) > 0, F.map_from_entries(name)).alias(name) for name in kinds])
 
 
 def details(nodes: DataFrame, page: list[str], label: str, value: str, first: bool = False) -> DataFrame:
     """(columns of page, details): a map of labels to values; of equal labels the last, or the first that has a value."""
-    told = pairs(nodes, page, label, value).where("label <> ''")
-    one = F.min_by("value", F.when(F.col("value") != "", F.col("position"))) if first else F.max_by("value", "position")
-    last = told.groupBy(*page, "label").agg(F.coalesce(one, F.lit("")).alias("value"))
-    return last.groupBy(*page).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "value")))).alias("details"))
+    return all_details(nodes, page, {"details": (label, value)}, first)
 
 
 def links(nodes: DataFrame, page: list[str], row: str = "a") -> DataFrame:

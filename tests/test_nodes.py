@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,24 @@ def test_definitions_and_no_rows(spark):
     assert [tuple(r)[2:] for r in nodes.pairs(n, ["page"], "dt", "dd").orderBy("position").collect()] == [("a", "1"), ("c", "")]
     assert nodes.records(n.where(F.lit(False)), ["page"], "dl", {"t": nodes.Field()}).collect() == []
     assert [(r.name, r.url) for r in nodes.links(opened(spark, "<a href='/1'>x <b>y</b></a><a>z</a>"), ["page"]).collect()] == [("x y", "/1")]
+
+
+def test_opening_is_bounded(monkeypatch):
+    """A batch of pages is opened some nodes at a time, whole pages each; null, empty and last empty pages give no rows."""
+    monkeypatch.setattr(nodes, "NODES", 8)
+    pages = ["<p>a<b>c</b>", None, "<ul><li class='x'>1<li>2</ul>", "", *["<p>t</p>"] * 9, None]
+    batch = pa.RecordBatch.from_pydict({"page": list(range(len(pages))), "html": pa.array(pages, pa.string())})
+    made = list(nodes._opened(batch, "html"))
+    assert len(made) > 2 and max(m.num_rows for m in made) <= 8 + 5
+    got = [(r["page"], r["path"], r["attributes"]) for m in made for r in m.to_pylist()]
+    assert got == [(k, n["path"], list(n["attributes"].items())) for k, p in enumerate(pages) for n in nodes.page_nodes(p)]
+
+
+def test_details_of_several_kinds(spark):
+    """Kinds of details that lie in each other are told apart in one pass, as by one pass each."""
+    html = ["<dl><dt>A<dd>1<dt>B<dd><table><tr><th>T<td>x<th>U</table></dl>", "<table><tr><th>T<td>y</table>", "<p>none</p>"]
+    opened = nodes.node_rows(spark.createDataFrame(list(enumerate(html)), "page int, html string"), "html")
+    got = nodes.all_details(opened, ["page"], {"terms": ("dt", "dd"), "heads": ("th", "td")})
+    want = {0: ({"A": "1", "B": "T x U"}, {"T": "x"}), 1: (None, {"T": "y"})}
+    assert {r.page: (r.terms, r.heads) for r in got.collect()} == want
+    assert {r.page: r.details for r in nodes.details(opened, ["page"], "dt", "dd").collect()} == {0: want[0][0]}
