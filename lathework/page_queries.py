@@ -45,7 +45,8 @@ def detail_pages(read):
     """Parts as detail pages: a list of terms, one of them without a value, and a row of heads and cells."""
     size = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string")).otherwise("")
     html = F.concat(F.lit("<dl><dt>Brand<dd>"), "p_brand", F.lit("<dt>None<dt> Size <dd>"), size, F.lit("</dl><table><tr><th>Type<td>"), "p_type", F.lit("<th>Rest<tr><td>no</table>"))
-    opened = nodes.node_rows(read("part").select("p_partkey", html.alias("html")), "html")
-    terms = nodes.details(opened, ["p_partkey"], "dt", "dd").withColumnRenamed("details", "terms")
-    heads = nodes.details(opened, ["p_partkey"], "th", "td").withColumnRenamed("details", "heads")
-    return terms.join(heads, "p_partkey").select("p_partkey", F.col("terms")["Brand"].alias("brand"), F.col("terms")["Size"].alias("size"), F.col("heads")["Type"].alias("kind"))
+    # The table may be one small file, the opened pages are not.
+    parts = read("part").select("p_partkey", "p_brand", "p_size", "p_type").repartition("p_partkey")
+    opened = nodes.node_rows(parts.select("p_partkey", html.alias("html")), "html")
+    told = nodes.all_details(opened, ["p_partkey"], {"terms": ("dt", "dd"), "heads": ("th", "td")}).where("terms is not null and heads is not null")
+    return told.select("p_partkey", F.col("terms")["Brand"].alias("brand"), F.col("terms")["Size"].alias("size"), F.col("heads")["Type"].alias("kind"))
