@@ -34,6 +34,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def sort_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts 64-bit hashes, of equal ones the first first, and the hashes in it.
+
+    Their upper bits with the places below are sorted as plain numbers, several times as fast as places by hashes. The few
+    runs of hashes that differ in the lower bits alone are then put right.
+    """
+    bits = U64(len(h).bit_length())
+    low = (U64(1) << bits) - U64(1)
+    key = h & ~low
+    key |= np.arange(len(h), dtype=np.uint32)
+    key.sort()
+    key &= low
+    order = key.view(np.int64)
+    h = h[order]
+    # All hashes of one run lie between its first and last possible one, and no others do: a search finds it.
+    run = np.unique(h[1:][h[1:] < h[:-1]] & ~low)
+    for a, b in zip(np.searchsorted(h, run).tolist(), np.searchsorted(h, run | low, side="right").tolist(), strict=True):
+        own = np.argsort(h[a:b], kind="stable")
+        order[a:b], h[a:b] = order[a:b][own], h[a:b][own]
+    return order, h
+
+
 def chunks(texts: list[bytes | None], most: int = CHUNK):
     """Index ranges of consecutive texts of about `most` bytes together, one text at least."""
     begin, size = 0, 0

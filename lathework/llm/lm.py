@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lathework.llm.blocks import blocks_for, cuts, from_planes, in_blocks, packed, planes, unpacked
 from lathework.llm.common import word_array
-from lathework.llm.hashing import U64, chunks, mixed, word_hashes
+from lathework.llm.hashing import U64, chunks, mixed, sort_order, word_hashes
 
 #: The factor of each step back, and the count of a word that occurs nowhere else.
 BACKOFF, UNSEEN = 0.4, 0.5
@@ -63,6 +63,27 @@ def _distinct(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[np.n
     return every[new], np.diff(np.append(new, len(every)))
 
 
+def _places(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of distinct n-grams, and for each n-gram its place among them, as `_distinct` has them; 0 where there is none.
+
+    One sort places all: a search for each would read the memory at random, a step at a time.
+    """
+    has = [np.ones(len(one), bool), two > 0, three > 0]
+    order, every = sort_order(np.concatenate([one, two[has[1]], three[has[2]]]))
+    new = np.zeros(len(every), np.int32)
+    new[1:] = every[1:] != every[:-1]
+    del every
+    np.cumsum(new, out=new)
+    place = np.empty_like(new)
+    place[order] = new
+    out, begin = [], 0
+    for some in has:
+        full = np.zeros(len(one), np.int32)
+        full[some] = place[begin : (begin := begin + np.count_nonzero(some))]
+        out.append(full)
+    return (int(new[-1]) + 1 if len(new) else 0, *out)
+
+
 def _texts(t: pa.Table) -> list[bytes | None]:
     return t.column("text").cast(pa.binary()).to_pylist()
 
@@ -90,8 +111,7 @@ def _total(t: pa.Table) -> pa.Table:
     n = t.column("n").to_pylist()
     hashes = np.concatenate([unpacked(d, k) for d, k in zip(t.column("hashes").to_pylist(), n, strict=True)])
     counts = np.concatenate([from_planes(d, k) for d, k in zip(t.column("counts").to_pylist(), n, strict=True)])
-    order = np.argsort(hashes)
-    hashes = hashes[order]
+    order, hashes = sort_order(hashes)
     new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     sums = np.add.reduceat(counts[order], np.flatnonzero(new))
     totals = np.empty_like(counts)
@@ -108,18 +128,14 @@ def _total(t: pa.Table) -> pa.Table:
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """A block's documents and its n-grams' totals to a row per document; the score leaves out the division by N."""
     one, two, three, at = _grams(_texts(docs))
-    grams, _ = _distinct(one, two, three)
+    n, *places = _places(one, two, three)
     answers = answers.sort_by("bucket")
     totals = [from_planes(d, k) for d, k in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)]
     totals = np.concatenate([*totals, np.zeros(0, np.uint64)]).astype(np.float64)
-
-    def elsewhere(h: np.ndarray) -> np.ndarray:
-        """Counts without the occurrence at hand; 0 where there is no n-gram."""
-        found = np.searchsorted(grams, h)
-        found[h == 0] = 0
-        return np.where(h > 0, totals[found] - 1, 0) if len(totals) else np.zeros(len(h))
-
-    c1, c2, c3 = elsewhere(one), elsewhere(two), elsewhere(three)
+    if len(totals) != n:
+        raise ValueError(f"{len(totals)} totals for {n} n-grams")
+    # Counts without the occurrence at hand; 0 where there is no n-gram.
+    c1, c2, c3 = (np.where(h > 0, totals[place] - 1, 0) for h, place in zip((one, two, three), places, strict=True))
     before = lambda c: np.concatenate((np.ones(min(1, len(c))), c[:-1]))
     tri = c3 > 0
     bi = ~tri & (c2 > 0)
