@@ -17,11 +17,10 @@ anchor: equal ones are one row per block, and no anchor's stretches are unbounde
 Hashes only bring rows together. Rows of one hash count as equal if their bytes are; others stay rows of their own under
 the anchor, and the suffix array settles them.
 
-The suffix array is built by grouping: suffixes start in groups by their first byte. Groups are taken in descending
-order, and each suffix points to the nearest one before it in a group not yet taken; those move to a new group just above
-their old one, the higher the more suffixes of the group point to them. In the end each group holds the suffixes with one
-Lyndon prefix, in order; going through the result in ascending order then places, along the same pointers, every suffix
-whose next smaller one has just been reached at the head of what is left of its group.
+The suffix array is built by grouping: suffixes start in groups by their first bytes, in order. As long as a group has
+several, they are told apart by the groups of the suffixes that begin where the bytes they share end, so that each round
+doubles the bytes by which groups are told apart; a suffix alone in its group has its place. Rounds are sorts of whole
+arrays, of what is left only.
 
 Defined cases: null or empty text has no bytes; a text shorter than LENGTH keeps all; a doc_id names one document, so rows
 that repeat it remove nothing from each other; a null doc_id counts as greater than all others; an empty table gives an
@@ -51,77 +50,43 @@ PIECE = 1 << 17
 ARRAY_BYTES = 1 << 15
 
 
+#: Bytes by which suffixes are grouped at first: nine bits each in a number of 64, as the end comes before all bytes.
+_AT_FIRST = 7
+
+
 def suffix_array(text: bytes) -> list[int]:
-    """Starts of the suffixes of `text` in ascending order, in linear time."""
+    """Starts of the suffixes of `text` in ascending order."""
+    return suffix_order(np.frombuffer(text, np.uint8)).tolist()
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of bytes in ascending order: a sort for each doubling of the longest repeat."""
     n = len(text)
-    members: list[list[int]] = []
-    group = [0] * n
-    lists: dict[int, list[int]] = {}
-    for i, c in enumerate(text):
-        lists.setdefault(c, []).append(i)
-    for g, c in enumerate(sorted(lists)):
-        members.append(lists[c])
-        for i in lists[c]:
-            group[i] = g
-    below = list(range(-1, len(members) - 1))
-    above = list(range(1, len(members) + 1))  # the highest group's neighbour is not read
-    pointer, taken, order = [-1] * n, bytearray(n), []
-    now = len(members) - 1
-    while now >= 0:
-        own = members[now]
-        own = members[now] = [i for i in own if group[i] == now] if len(own) > 1 else own if group[own[0]] == now else []
-        if len(own) == 1:  # the most frequent case, in short
-            s = own[0]
-            p = s - 1
-            while p >= 0 and taken[p]:
-                p = pointer[p]
-            pointer[s] = p
-            taken[s] = 1
-            moves = (((1, group[p]), [p]),) if p >= 0 else ()
-        else:
-            hits: dict[int, int] = {}
-            own.sort()
-            for s in own:
-                p = s - 1
-                while p >= 0 and taken[p]:
-                    p = pointer[p]
-                pointer[s] = p
-                taken[s] = 1
-                if p >= 0:
-                    hits[p] = hits.get(p, 0) + 1
-            moved: dict[tuple[int, int], list[int]] = {}
-            for p, k in hits.items():
-                moved.setdefault((-k, group[p]), []).append(p)
-            # The most pointed to is inserted first, right above the old group, and pushed up by those with fewer.
-            moves = sorted(moved.items())
-        for (_, old), some in moves:
-            new = len(members)
-            members.append(some)
-            below.append(old)
-            above.append(above[old])
-            below[above[old]] = new
-            above[old] = new
-            for p in some:
-                group[p] = new
-        if own:
-            order.append(now)
-        now = below[now]
-    head, at = [0] * len(members), 0
-    for g in reversed(order):
-        head[g] = at
-        at += len(members[g])
-    out, placed = [0] * n, bytearray(n)
-    s = n - 1
-    for k in range(-1, n - 1):
-        if k >= 0:
-            s = out[k] - 1
-        while s >= 0 and not placed[s]:
-            placed[s] = 1
-            g = group[s]
-            out[head[g]] = s
-            head[g] += 1
-            s = pointer[s]
-    return out
+    values = np.zeros(n + _AT_FIRST, U64)
+    values[:n] = text
+    values[:n] += U64(1)
+    key = values[:n].copy()
+    for j in range(1, _AT_FIRST):
+        key <<= U64(9)
+        key |= values[j : n + j]
+    order, group = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    own, left, shared = np.arange(n), np.arange(n), _AT_FIRST
+    while len(left):
+        # Groups stand in a row in `left`, the places they fill, and by their first places: a sort keeps each in its own.
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        first = _new(key)
+        many = np.diff(np.append(first, len(key)))
+        order[left] = own
+        group[own] = np.repeat(left[first], many)
+        several = np.repeat(many > 1, many)
+        own, left = own[several], left[several]
+        after = own + shared
+        inside = after < n
+        key = group[own].astype(U64) << U64(32)
+        key[inside] |= group[after[inside]].astype(U64) + U64(1)
+        shared *= 2
+    return order
 
 
 _STRETCH, _STRING, _ANCHOR = U64(0xA24BAED4963EE407), U64(0x8CB92BA72F3D8DD7), U64(0x2545F4914F6CDD1D)
@@ -326,10 +291,9 @@ def _array_runs(text: np.ndarray, starts: np.ndarray, strings: np.ndarray) -> tu
     inside[starts] += 1
     np.add.at(inside, starts + strings, -1)
     inside = np.cumsum(inside)[: len(text)] > 0
-    order = np.array(suffix_array(text.tobytes()), np.int64)
+    order = suffix_order(text)
     order = order[inside[order]]
-    rows = text[order[:, None] + np.arange(LENGTH)]
-    return order, np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+    return order, _kinds(text, order, np.full(len(order), LENGTH))
 
 
 def _earlier(t: pa.Table) -> pa.Table:
