@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lathework.llm.tokens import encoder
 
-#: Ids that the rolling hash sees; the mean, least and most ids in a chunk.
+#: Ids that the rolling hash sees, a power of two; the mean, least and most ids in a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 2048
 #: Documents in a recipe file, about.
 PART_DOCS = 50_000
@@ -46,12 +46,13 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    spread = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
-    spread ^= spread >> np.uint64(29)
-    for j in range(WINDOW):
-        h *= _FACTOR
-        h += spread[j : n - WINDOW + 1 + j]
+    h = (ids.astype(np.uint64) + np.uint64(1)) * _FACTOR
+    h ^= h >> np.uint64(29)
+    # Sums of 1, 2, 4, ... ids, the last one times 1, the one before it times the factor, and so on.
+    width, factor = 1, int(_FACTOR)
+    while width < WINDOW:
+        h = h[:-width] * np.uint64(factor) + h[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
     h ^= h >> np.uint64(32)
     ends, last = [], 0
     for at in (np.flatnonzero(h & np.uint64(MEAN - 1) == 0) + WINDOW).tolist():

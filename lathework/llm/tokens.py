@@ -6,7 +6,8 @@ for U+001C to U+001F, which Python counts as blanks and the vocabulary has token
 so that plain words can be encoded many at once. In `byte_bpe_50k` a blank is the
 first character of the piece after it and a line feed begins a piece, so texts are cut before both; only in runs of three
 or more blanks, or two at the end or before an added token, a piece can hold a later blank. Such texts, and all texts under
-another vocabulary, go to the library whole.
+another vocabulary, go to the library whole. Under `word_bpe_49k`, which knows small letters only, a plain word is its letters, made
+small, and the marks behind them, each a piece: a word that differs from known ones in these alone is put together from theirs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ JOINED, APART = "byte_bpe_50k.json", "word_bpe_49k.json"
 _SEPARATORS, _BLANKS = "\x1c\x1d\x1e\x1f", re.compile(r"[^\S\x1c-\x1f]+")
 # Fixed value: in `word_bpe_49k`, a word of Latin letters is one piece, and the marks behind it another. (U+0130 is left out, as
 # in small letters it is two characters.)
-_PLAIN = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+([!-/:-@\\[-`{-~]+)?")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]+)?")
 #: Plain words that the library encodes as one text, and characters of texts whose new words are learnt together.
 TOGETHER, GROUP = 64, 1 << 18
 #: Words that a worker remembers, and their characters; beyond, it forgets all and starts anew.
@@ -47,6 +48,15 @@ class _Numbers(dict):
         return n
 
 
+class _Words(_Numbers):
+    """The same for a vocabulary whose words are all alike, wherever they stand; they are listed as they are."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of texts. `path` is the tokenizer's file, or the bare name of a public one, which is looked up on this machine."""
 
@@ -69,53 +79,78 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.known = 0
+        self.numbers = _Words() if self.kind == APART else _Numbers()
+        self.ids, self.begin, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.held = self.known = 0  # ids, words
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, new: list[str]) -> list[list[int]]:
-        """The ids of words, plain ones many in a call: their pieces are known in number, and ids that end a piece are too."""
-        made: list[list[int] | None] = [None] * len(new)
-        plain, pieces = [], []
-        for i, m in enumerate(map(_PLAIN.fullmatch, new)):
-            if m:
-                plain.append(i)
-                pieces.append(1 if m[1] is None else 2)
-        joined = ["".join(new[i] for i in plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
-        ids = [i for part in self._batch(joined) for i in part]
-        ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(pieces, dtype=np.int64)
-        if len(ends) == (last[-1] if len(last) else 0):  # as the pattern promises; else all go one by one
-            at = 0
-            for i, end in zip(plain, (ends[last - 1] + 1).tolist(), strict=True):
-                made[i] = ids[at:end]
-                at = end
-        rest = [i for i, m in enumerate(made) if m is None]
-        for i, own in zip(rest, self._batch([new[i] for i in rest]), strict=True):
-            made[i] = own
-        return made
+        """The ids of words of small letters, many in a call: each is a piece, and the ids that end a piece are known."""
+        ids = [i for part in self._batch([" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)]) for i in part]
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(new):  # the pattern promises otherwise
+            return self._batch(new)
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _parted(self) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+        """New words: the numbers of those of small letters, of others, and of those that are put together, with their letters' and marks'.
+
+        Letters and marks may be new as well.
+        """
+        numbers, match, small, others, parts = self.numbers, _PLAIN.fullmatch, [], [], []
+        for n, word in enumerate(numbers.new, self.known):  # the parts that are new come behind
+            if m := match(word):
+                whole, marks = m.groups()
+                letters = whole.lower()
+                if marks is not None:
+                    parts.append((n, numbers[letters], numbers[marks]))
+                elif letters != whole:
+                    parts.append((n, numbers[letters], -1))
+                else:
+                    small.append(n)
+            else:
+                others.append(n)
+        return small, others, parts
+
+    def _keep(self, numbers: np.ndarray, made: list[list[int]]) -> None:
+        self._put(numbers, np.fromiter(map(len, made), np.int64, len(made)), [i for m in made for i in m])
+
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray | list[int]) -> None:
+        """Remembers the ids of words, which stand in a row in `ids`."""
+        while len(self.ids) < self.held + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.begin[numbers] = self.held + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
 
     def _learn(self) -> None:
         """Encodes words that have a number but no ids yet."""
-        new, self.numbers.new = self.numbers.new, []
+        if self.kind == APART:
+            small, others, parts = self._parted()
+        new, first, self.numbers.new = self.numbers.new, self.known, []
         if not new:
             return
-        made = self._together(new) if self.kind == APART else self._batch(new)
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        first, n = int(self.at[self.known]), self.known + len(new)
-        while len(self.at) <= n:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.at[self.known + 1 : n + 1] = first + np.cumsum(sizes)
-        while len(self.ids) < self.at[n]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[first : self.at[n]] = [i for m in made for i in m]
-        self.known = n
+        self.known += len(new)
+        while len(self.begin) < self.known:
+            self.begin, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.sizes))
+        if self.kind != APART:
+            self._keep(np.arange(first, self.known), self._batch(new))
+            return
+        self.numbers.characters += sum(map(len, new))
+        self._keep(np.array(small, np.int64), self._together([new[n - first] for n in small]))
+        self._keep(np.array(others, np.int64), self._batch([new[n - first] for n in others]))
+        whole, letters, marks = np.array(parts, np.int64).reshape(-1, 3).T
+        alone = marks < 0  # they have the very ids of their letters
+        self.begin[whole[alone]], self.sizes[whole[alone]] = self.begin[letters[alone]], self.sizes[letters[alone]]
+        both = np.stack((letters, marks), 1)[~alone]
+        self._put(whole[~alone], self.sizes[both].sum(axis=1), self._gathered(both.ravel()))
 
     def _gathered(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of words by their numbers."""
-        begin, size = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+        begin, size = self.begin[numbers], self.sizes[numbers]
         last = np.cumsum(size)
         total = int(last[-1]) if len(last) else 0
         # The ids of one word are neighbours: step on by one, and jump where the next word begins.
