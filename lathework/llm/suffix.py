@@ -30,6 +30,7 @@ empty table; other columns are dropped; a doc_id has to be a number.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathework.llm.blocks import blocks_for, cuts, from_planes, in_blocks, packed, planes, unpacked
-from lathework.llm.hashing import U64, _tables, chunks, mixed
+from lathework.llm.hashing import U64, _tables, chunks, mixed, sort_order
 
 LENGTH, GRAM = 50, 24
 #: Anchors that can lie in one string.
@@ -94,6 +95,26 @@ _UPPER = np.uint64(0xFFFFFFFF00000000)
 _LAST = np.uint64((1 << 64) - 1)
 
 
+@dataclass(frozen=True)
+class _Repeats:
+    """What of a block can repeat, and what is sent of it."""
+
+    #: Stretches sorted by anchor and hash, and where in them equal ones begin; the first has the least document.
+    own: np.ndarray
+    first: np.ndarray
+    #: Of these different stretches, those sent whole and those sent string by string, by place, with their numbers of strings.
+    whole: np.ndarray
+    apart: np.ndarray
+    many: np.ndarray
+    #: Number of each such string among the different ones.
+    string: np.ndarray
+    #: Stretches sent whole and then different strings, put in the order of anchors; anchors, places and strings in that order.
+    order: np.ndarray
+    anchor: np.ndarray
+    place: np.ndarray
+    strings: np.ndarray
+
+
 class _Block:
     """The documents of a block by ascending id, their bytes in a row, and their stretches in place order."""
 
@@ -108,8 +129,7 @@ class _Block:
         self.order = np.array([(1 << 64) - 1 if d is None else d + (1 << 63) for d in self.ids.to_pylist()], np.uint64)
         found = [self._piece(a, b) for a, b in chunks(texts, PIECE)]
         self.anchor, self.stretch, self.at, self.strings = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
-        self.row = np.searchsorted(self.begin, self.at, side="right") - 1
-        self.doc = self.order[self.row] if len(self.row) else np.zeros(0, np.uint64)
+        self.doc = self.docs_at(self.at) if len(self.at) else np.zeros(0, np.uint64)
 
     def _piece(self, a: int, b: int) -> tuple[np.ndarray, ...]:
         """Stretches of documents a..b: hashes of the anchor and of the bytes, the place, and the number of strings."""
@@ -145,30 +165,72 @@ class _Block:
         # Anchors are small hashes; mixed anew they spread over all buckets.
         return mixed(grams[chosen[new]] ^ _ANCHOR), whole, at + base, strings
 
-    def repeated(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Occurrences (anchor, place, strings, doc) that can repeat, sorted by anchor, hash and doc, and where equal ones begin.
+    def repeated(self, codes: np.ndarray) -> _Repeats:
+        """What can repeat, of the stretches; `codes` has a number for each distinct anchor: 0 no, 1 yes, 2 string by string.
 
-        `codes` has a number for each distinct anchor: 0 no, 1 yes, 2 string by string.
+        Stretches that are equal go together in either case, so that copies within the block aren't taken apart each.
         """
-        order = np.argsort(self.anchor, kind="stable")
-        first = _new(self.anchor[order])
-        code = np.repeat(codes, np.diff(np.append(first, len(order))))
-        some, hot = order[code == 1], np.sort(order[code == 2])
-        many = self.strings[hot]
-        at = np.repeat(self.at[hot] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        own = np.argsort(self.anchor, kind="stable")
+        first = _new(self.anchor[own])
+        code = np.repeat(codes.astype(np.uint8), np.diff(np.append(first, len(own))))
+        hot = np.zeros(len(own), bool)
+        hot[own[code == 2]] = True
+        own = own[code > 0]
+        own = own[np.lexsort((self.stretch[own], self.anchor[own]))]  # stable: places, and so documents, stay in ascending order
+        first = _kinds(self.data, self.at[own], self.strings[own] + (LENGTH - 1), self.anchor[own], self.stretch[own])
+        model = own[first]
+        whole, apart = np.flatnonzero(~hot[model]), np.flatnonzero(hot[model])
+        apart = apart[np.argsort(model[apart])]
+        begin, many = self.at[model[apart]], self.strings[model[apart]]
+        at = np.repeat(begin - (np.cumsum(many) - many), many)
+        at += np.arange(len(at))
         alone = np.zeros(len(at), U64)
         powers = _tables(LENGTH)[0]
-        for j in range(LENGTH if len(at) else 0):
-            alone += (self.data[at + j].astype(U64) + U64(1)) * powers[j]
+        for a in range(0, len(at), PIECE):
+            for j in range(LENGTH):
+                alone[a : a + PIECE] += (self.data[at[a : a + PIECE] + j].astype(U64) + U64(1)) * powers[j]
         alone = mixed(alone ^ _STRING)
-        anchor = np.concatenate((self.anchor[some], alone))
-        whole = np.concatenate((self.stretch[some], alone))
-        place = np.concatenate((self.at[some], at))
-        strings = np.concatenate((self.strings[some], np.ones(len(at), np.int64)))
-        doc = np.concatenate((self.doc[some], np.repeat(self.doc[hot], many)))
-        order = np.lexsort((whole, anchor))  # stable: documents stay in ascending order
-        anchor, place, strings = anchor[order], place[order], strings[order]
-        return anchor, place, strings, doc[order], _kinds(self.data, place, strings + LENGTH - 1, anchor, whole[order])
+        by, alone = sort_order(alone)
+        different = _kinds(self.data, at[by], np.full(len(by), LENGTH), alone)
+        string = np.empty(len(by), np.int64)
+        string[by] = np.repeat(np.arange(len(different)), np.diff(np.append(different, len(by))))
+        anchor = np.concatenate((self.anchor[model[whole]], alone[different]))
+        place = np.concatenate((self.at[model[whole]], at[by[different]]))
+        strings = np.concatenate((self.strings[model[whole]], np.ones(len(different), np.int64)))
+        order = np.argsort(anchor, kind="stable")
+        return _Repeats(own, first, whole, apart, many, string, order, anchor[order], place[order], strings[order])
+
+    def docs_at(self, place: np.ndarray) -> np.ndarray:
+        """The documents that hold places, as numbers in the order of ids."""
+        return self.order[np.searchsorted(self.begin, place, side="right") - 1]
+
+    def repeats(self, found: _Repeats, bits: np.ndarray) -> np.ndarray:
+        """Whether the string that begins at each byte also starts in an earlier document; `bits` answers for what was sent."""
+        answer = np.empty(len(bits), np.uint64)
+        answer[found.order] = bits
+        n = len(found.whole)
+        of_kind = np.zeros(len(found.first), np.uint64)
+        of_kind[found.whole] = answer[:n]
+        if len(found.apart):
+            # A string repeats by the answer, or as a stretch of an earlier document of the block has it.
+            place = np.empty(len(bits), np.int64)
+            place[found.order] = found.place
+            begins = np.cumsum(found.many) - found.many
+            gone = answer[n:][found.string] > 0
+            gone |= np.repeat(self.doc[found.own[found.first[found.apart]]], found.many) > self.docs_at(place[n:])[found.string]
+            each = gone.astype(np.uint64) << (np.arange(len(gone)) - np.repeat(begins, found.many)).astype(np.uint64)
+            of_kind[found.apart] = np.add.reduceat(each, begins)
+        many = np.diff(np.append(found.first, len(found.own)))
+        at, strings, doc = self.at[found.own], self.strings[found.own], self.doc[found.own]
+        # Where a document of the block itself has the stretch earlier, all of its strings repeat.
+        bits = np.where(doc > np.repeat(doc[found.first], many), _LAST, np.repeat(of_kind, many))
+        bits &= (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
+        some = np.flatnonzero(bits)
+        at, bits = at[some], bits[some]
+        hit = np.zeros(len(self.data), bool)
+        for j in range(REACH):
+            hit[at[bits >> np.uint64(j) & np.uint64(1) > 0] + j] = True
+        return hit
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -188,12 +250,14 @@ def _kinds(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndar
     if len(same):
         # Eight bytes at a time, from any place; a row has LENGTH at least, and its last eight may overlap those before.
         wide = np.ndarray(len(data) - 7, np.uint64, data, strides=1)
-        here, before, last = begin[same], begin[same - 1], size[same] - 8
-        other = np.zeros(len(same), bool)
-        for j in range(0, int(size[same].max()), 8):
-            at = np.minimum(j, last)
-            other |= wide[here + at] != wide[before + at]
-        new[same] = other
+        for a in range(0, len(same), PIECE):
+            some = same[a : a + PIECE]
+            here, before, last = begin[some], begin[some - 1], size[some] - 8
+            other = np.zeros(len(some), bool)
+            for j in range(0, int(last.max()) + 8, 8):
+                at = np.minimum(j, last)
+                other |= wide[here + at] != wide[before + at]
+            new[some] = other
     return np.flatnonzero(new)
 
 
@@ -266,8 +330,8 @@ def _send(buckets: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         b, codes = _Block(docs), _codes(answers)
-        anchor, place, strings, doc, first = b.repeated(codes)  # the first has the least document
-        anchor, place, strings, doc = anchor[first], place[first], strings[first], doc[first]
+        found = b.repeated(codes)
+        anchor, place, strings, doc = found.anchor, found.place, found.strings, b.docs_at(found.place)
         full, at = cuts(anchor, buckets)
         block = docs.column("block")[0].as_py()
         rows = []
@@ -350,33 +414,30 @@ def _apply(keep: bool):
         b, answers = _Block(docs), answers.sort_by("bucket")
         found = [from_planes(d, k) for d, k in zip(answers.column("answer").to_pylist(), answers.column("n").to_pylist(), strict=True)]
         bits = np.concatenate([*found[1:], np.zeros(0, np.uint64)])
-        _, place, strings, doc, first = b.repeated(found[0])
-        many = np.diff(np.append(first, len(place)))
-        # Where a document of the block itself has the stretch earlier, all of its strings repeat.
-        bits = np.where(doc > np.repeat(doc[first], many), _LAST, np.repeat(bits, many))
-        whole_bits = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
-        bits &= whole_bits
-        full, some = bits == whole_bits, np.flatnonzero((bits > 0) & (bits != whole_bits))
-        begins, ends = [place[full]], [place[full] + strings[full]]
-        for j in range(REACH):
-            hit = place[some[bits[some] >> np.uint64(j) & np.uint64(1) > 0]] + j
-            begins.append(hit)
-            ends.append(hit + 1)
-        size = len(b.data) + 1
-        marks = np.bincount(np.concatenate(begins), minlength=size) - np.bincount(np.concatenate(ends) + (LENGTH - 1), minlength=size)
-        gone = np.cumsum(marks)[:-1] > 0
+        gone = b.repeats(b.repeated(found[0]), bits)
+        width = 1
+        while width < LENGTH:  # a string takes all its bytes, which lie in its document
+            step = min(width, LENGTH - width)
+            gone[step:] |= gone[:-step]
+            width += step
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         inner = b.begin[:-1][np.diff(b.begin) > 0]
         opens[inner] = gone[inner]
-        running, opened = (np.concatenate(([0], np.cumsum(x))) for x in (gone, opens))
-        cut = [b.data[i:j][~gone[i:j]].tobytes() for i, j in zip(b.begin[:-1], b.begin[1:], strict=True)]
+        left, digests, cut = [], [], []
+        for i, j in zip(b.begin[:-1].tolist(), b.begin[1:].tolist(), strict=True):
+            rest = b.data[i:j][~gone[i:j]].tobytes()
+            left.append(len(rest))
+            digests.append(hashlib.sha256(rest).hexdigest())
+            if keep:
+                cut.append(rest)
+        size = np.diff(b.begin)
         columns = {
             "doc_id": b.ids,
-            "n_bytes": pa.array(np.diff(b.begin), pa.int64()),
-            "n_removed": pa.array(np.diff(running[b.begin]), pa.int64()),
-            "n_spans": pa.array(np.diff(opened[b.begin]), pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in cut], pa.string()),
+            "n_bytes": pa.array(size, pa.int64()),
+            "n_removed": pa.array(size - np.array(left, np.int64), pa.int64()),
+            "n_spans": pa.array(np.diff(np.searchsorted(np.flatnonzero(opens), b.begin)), pa.int64()),
+            "kept_sha256": pa.array(digests, pa.string()),
         }
         return pa.table(columns | ({"kept": pa.array(cut, pa.binary())} if keep else {}))
 
