@@ -6,8 +6,10 @@ for U+001C to U+001F, which Python counts as blanks and the vocabulary has token
 so that plain words can be encoded many at once. In `byte_bpe_50k` a blank is the
 first character of the piece after it and a line feed begins a piece, so texts are cut before both; only in runs of three
 or more blanks, or two at the end or before an added token, a piece can hold a later blank. Such texts, and all texts under
-another vocabulary, go to the library whole. Under `word_bpe_49k`, which knows small letters only, a plain word is its letters, made
-small, and the marks behind them, each a piece: a word that differs from known ones in these alone is put together from theirs.
+another vocabulary, go to the library whole. A word that holds no white space but the blank or line feed it begins with
+has just one id that begins with either, its first, so that such words, too, can be encoded many at once. Under
+`word_bpe_49k`, which knows small letters only, a plain word is its letters, made small, and the marks behind them, each a piece: a word that differs
+from known ones in these alone is put together from theirs.
 """
 
 from __future__ import annotations
@@ -15,15 +17,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 # How the vocabularies treat blanks.
 JOINED, APART = "byte_bpe_50k.json", "word_bpe_49k.json"
+_BEGINS = ("\u0120", "\u010a")  # how `byte_bpe_50k` writes a blank and a line feed
 _SEPARATORS, _BLANKS = "\x1c\x1d\x1e\x1f", re.compile(r"[^\S\x1c-\x1f]+")
 # Fixed value: in `word_bpe_49k`, a word of Latin letters is one piece, and the marks behind it another. (U+0130 is left out, as
 # in small letters it is two characters.)
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]+)?")
+# Fixed value: in `byte_bpe_50k`, a word with a blank or a line feed before it and none inside.
+_SPACED = re.compile(r"[ \n]\S+")
 #: Plain words that the library encodes as one text, and characters of texts whose new words are learnt together.
 TOGETHER, GROUP = 64, 1 << 18
 #: Words that a worker remembers, and their characters; beyond, it forgets all and starts anew.
@@ -57,6 +63,12 @@ class _Words(_Numbers):
         return n
 
 
+def _flat(made: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as their lengths and the ids in a row."""
+    sizes = np.fromiter(map(len, made), np.int64, len(made))
+    return sizes, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
+
+
 class Encoder:
     """Ids of texts. `path` is the tokenizer's file, or the bare name of a public one, which is looked up on this machine."""
 
@@ -76,6 +88,9 @@ class Encoder:
         if self.kind == APART:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        elif self.kind == JOINED:
+            self.begins = np.zeros(self.size, bool)
+            self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_BEGINS)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -86,13 +101,18 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, new: list[str]) -> list[list[int]]:
-        """The ids of words of small letters, many in a call: each is a piece, and the ids that end a piece are known."""
-        ids = [i for part in self._batch([" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)]) for i in part]
-        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(ends) != len(new):  # the pattern promises otherwise
-            return self._batch(new)
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+    def _together(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of words, and the ids, many words in a call: the ids that end a word, or begin one, are known."""
+        between = " " if self.kind == APART else ""
+        made = self._batch([between.join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)])
+        ids = np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
+        if self.kind == APART:
+            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        else:
+            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+        if len(cuts) != len(new) + 1:  # the pattern promises otherwise
+            return _flat(self._batch(new))
+        return np.diff(cuts), ids
 
     def _parted(self) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
         """New words: the numbers of those of small letters, of others, and of those that are put together, with their letters' and marks'.
@@ -114,10 +134,7 @@ class Encoder:
                 others.append(n)
         return small, others, parts
 
-    def _keep(self, numbers: np.ndarray, made: list[list[int]]) -> None:
-        self._put(numbers, np.fromiter(map(len, made), np.int64, len(made)), [i for m in made for i in m])
-
-    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray | list[int]) -> None:
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Remembers the ids of words, which stand in a row in `ids`."""
         while len(self.ids) < self.held + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -137,11 +154,14 @@ class Encoder:
         while len(self.begin) < self.known:
             self.begin, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.sizes))
         if self.kind != APART:
-            self._keep(np.arange(first, self.known), self._batch(new))
+            spaced = np.fromiter((_SPACED.fullmatch(w) is not None for w in new), bool, len(new))
+            for some, encode in ((spaced, self._together), (~spaced, lambda words: _flat(self._batch(words)))):
+                at = np.flatnonzero(some)
+                self._put(first + at, *encode([new[k] for k in at.tolist()]))
             return
         self.numbers.characters += sum(map(len, new))
-        self._keep(np.array(small, np.int64), self._together([new[n - first] for n in small]))
-        self._keep(np.array(others, np.int64), self._batch([new[n - first] for n in others]))
+        self._put(np.array(small, np.int64), *self._together([new[n - first] for n in small]))
+        self._put(np.array(others, np.int64), *_flat(self._batch([new[n - first] for n in others])))
         whole, letters, marks = np.array(parts, np.int64).reshape(-1, 3).T
         alone = marks < 0  # they have the very ids of their letters
         self.begin[whole[alone]], self.sizes[whole[alone]] = self.begin[letters[alone]], self.sizes[letters[alone]]
