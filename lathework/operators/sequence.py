@@ -104,8 +104,30 @@ def first_come(links: DataFrame, a: str, b: str, segment: int | None = None) ->
             stays[b] = stays.get(b, True) and not (a is not None and stays.get(a, known.get(a, False)))
         return stays
 
-    found = settle(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), decide, "boolean", segment)
-    return found.withColumnRenamed("state", "stays")
+    ends = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    gone, left, unsettled = _without_losers(ends)
+    if unsettled:
+        gone = gone.unionByName(settle(left, decide, "boolean", segment).where("NOT state").select("id"))
+    every = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
+    return every.join(gone.select("id", F.lit(False).alias("stays")), "id", "left").select("id", F.coalesce("stays", F.lit(True)).alias("stays"))
+
+
+def _without_losers(links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows that go, links that are left, their number), where all rows at once leave few.
+
+    A row that no link leads to stays, so those it links to go, and their links with them. Where links are many to a row, such a
+    round takes most of them away; rounds go on until none is left, or until one leaves more than half, as in a chain.
+    """
+    gone, left, n = links.select(F.col("b").alias("id")).limit(0), links, links.count()
+    while n:
+        stay = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        now = cut(left.join(stay, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = gone.unionByName(now)
+        left = cut(left.join(now.withColumnRenamed("id", "a"), "a", "left_anti").join(now.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        before, n = n, left.count()
+        if n * 2 > before:
+            break
+    return gone, left, n
 
 
 def folded(links: DataFrame, segment: int | None = None) -> DataFrame:

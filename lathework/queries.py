@@ -336,7 +336,7 @@ def _syllables(words):
 @query()
 def distinct_articles(read):
     """Documents as articles, their first words as titles of a syllable each: equal titles fold, and alike ones of two languages."""
-    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 30)
+    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+", 31), 1, 30)  # what follows them stays one piece
     rows = read("documents").select("doc_id", "lang", _syllables(words).alias("title"))
     return dedupe.distinct_articles(rows, "doc_id", "title", F.col("lang").isin("en", "de")).select("doc_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -88,3 +89,37 @@ def test_few_meet_in_prose(spark):
     assert want <= met
     assert len(met) < len(rows) * (len(rows) - 1) / 2 * 0.2
     assert {tuple(p) for p in characters.alike(frame, "t", 0.6).collect()} == want
+
+
+def headed(n, seed=8):
+    """Titles with one first sentence, the rest as frequent as in prose, and some shorter ones."""
+    r = random.Random(seed)
+    weights = [1 / (k + 1) for k in range(len(HANGUL))]
+    head = r.sample(HANGUL, 10)
+    return list(enumerate(dict.fromkeys("".join(head + r.choices(HANGUL, weights, k=20 if k % 7 else 14)) for k in range(n))))
+
+
+@pytest.mark.parametrize("block,sent", [(16, characters.SENT), (100, 0)])
+def test_common_keys_by_blocks(spark, monkeypatch, block, sent):
+    """Keys of more titles than a block give the same pairs, and so do shorter titles' keys that are too many to be sent."""
+    monkeypatch.setattr(characters, "BLOCK", block)
+    monkeypatch.setattr(characters, "SENT", sent)
+    rows = headed(260)
+    frame = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if SequenceMatcher(None, x, y).ratio() >= 0.6}
+    got = [tuple(p) for p in characters.alike(frame, "t", 0.6).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    assert len(want) > 30
+
+
+def test_first_sentence_of_many(spark):
+    """8000 titles with one first sentence are 32 million pairs, which the bounds by bits and by subsequences settle in time."""
+    rows = headed(8000)
+    frame = spark.createDataFrame(rows, "id bigint, t string").repartition(8)
+    began = time.monotonic()
+    got = {tuple(p) for p in characters.alike(frame, "t", 0.6).collect()}
+    assert time.monotonic() - began < 90
+    r = random.Random(1)
+    for (a, x), (b, y) in (sorted(r.sample(rows, 2)) for _ in range(3000)):
+        assert ((a, b) in got) == (SequenceMatcher(None, x, y).ratio() >= 0.6)

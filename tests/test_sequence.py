@@ -85,3 +85,13 @@ def test_folded(spark, segment):
     links = [(a, b, dead[a], dead[b], r.choice([0.9, 0.92, 0.95, 1.0])) for a, b in sorted(set(shapes()))]
     frame = spark.createDataFrame(links, "a bigint, b bigint, a_dead boolean, b_dead boolean, ratio double").repartition(5)
     assert {r.id: r.slot for r in sequence.folded(frame, segment).collect()} == plain_slots(links)
+
+
+def test_many_links_settle_at_once(spark, monkeypatch):
+    """Where links are many to a row, rounds over all rows leave none, so that none goes by segments."""
+    r = random.Random(4)
+    links = sorted({tuple(sorted(r.sample(range(400), 2))) for _ in range(8000)})
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
+    monkeypatch.setattr(sequence, "settle", None)
+    got = {x.id: x.stays for x in sequence.first_come(frame, "a", "b", 60).collect()}
+    assert got == plain_stays(links)
