@@ -110,8 +110,11 @@ def _asked(n: int, side: str, least: float) -> list[tuple[bool, int]]:
     return [(p, _prefix(n, n + _shortest(n, least), p, least)) for p in sorted(kinds)] if _shortest(n, least) < n else []
 
 
-def _keys(codes: np.ndarray, prefix: int, paired: bool, tag: int) -> np.ndarray:
-    """The keys of each row of a matrix: its rarest characters or pairs of them as they stand in the text; -1 for a repeated one."""
+def _keys(codes: np.ndarray, prefix: int, paired: bool, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each row of a matrix: its rarest characters or pairs of them as they stand in the text; -1 for a repeated one.
+
+    With each key the one before it, or -1. Two texts with equal ones before a key have met there already.
+    """
     order = np.argsort(codes, axis=1, kind="stable")[:, :prefix]
     char = np.take_along_axis(codes, order, axis=1).astype(np.int64)
     if paired:
@@ -121,12 +124,12 @@ def _keys(codes: np.ndarray, prefix: int, paired: bool, tag: int) -> np.ndarray:
     else:
         first, second = char, np.int64(NONE)
     keys = np.sort((np.int64(tag) << 2 * RANK) | (first << RANK) | second, axis=1)
-    keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = -1
-    return keys
+    before = np.concatenate([np.full((len(keys), min(1, keys.shape[1])), -1), keys[:, :-1]], axis=1)
+    return np.where(keys == before, -1, keys), before
 
 
 def _keyed(ordered: DataFrame, side: str, least: float) -> DataFrame:
-    """(key, id, size, bits): a row for each key by which a text meets those of its length, longer or shorter ones."""
+    """(key, before, id, size, bits): a row for each key by which a text meets those of its length, longer or shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +142,11 @@ def _keyed(ordered: DataFrame, side: str, least: float) -> DataFrame:
                     per = max(1, AT_ONCE // max(1, n, prefix * (prefix - 1) // 2 if paired else prefix))
                     for k in range(0, len(own), per):
                         at_once = own[k : k + per]
-                        keys = _keys(codes.take(at[at_once][:, None] + np.arange(n)), prefix, paired, n % (1 << 20) if side == "same" else 0)
+                        keys, before = _keys(codes.take(at[at_once][:, None] + np.arange(n)), prefix, paired, n % (1 << 20) if side == "same" else 0)
                         row, place = np.nonzero(keys >= 0)
-                        yield pa.record_batch([pa.array(keys[row, place]), *told.take(pa.array(at_once[row])).columns], names=["key", *told.schema.names])
+                        yield pa.record_batch([pa.array(keys[row, place]), pa.array(before[row, place]), *told.take(pa.array(at_once[row])).columns], names=["key", "before", *told.schema.names])
 
-    return ordered.mapInArrow(run, StructType([StructField("key", LongType()), *[ordered.schema[c] for c in ("id", "size", *_BITS)]]))
+    return ordered.mapInArrow(run, StructType([StructField("key", LongType()), StructField("before", LongType()), *[ordered.schema[c] for c in ("id", "size", *_BITS)]]))
 
 
 def _told(rows: pa.Table, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -163,7 +166,7 @@ def _common(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return common
 
 
-def _near(need: np.ndarray, bits: list[np.ndarray], end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(need: np.ndarray, bits: list[np.ndarray], before: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows that each row may be alike to, of those behind it and before its `end`; about AT_ONCE pairs are looked at together."""
     partners = end - np.arange(len(end)) - 1
     until = np.cumsum(partners)
@@ -173,13 +176,13 @@ def _near(need: np.ndarray, bits: list[np.ndarray], end: np.ndarray) -> Iterator
         n = partners[begin:stop]
         i = np.repeat(np.arange(begin, stop), n)
         j = np.arange(1, len(i) + 1) + np.repeat(np.arange(begin, stop) - np.cumsum(n) + n, n)
-        may = np.flatnonzero(_common((w[i], w[j]) for w in bits) >= np.maximum(need[i], need[j]))
+        may = np.flatnonzero((_common((w[i], w[j]) for w in bits) >= np.maximum(need[i], need[j])) & ((before[i] != before[j]) | (before[i] < 0)))
         yield i[may], j[may]
         begin = stop
 
 
 def _met_by_key(ordered: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of one length that share a key and may have enough in common by their bits, perhaps several times."""
+    """(a, b): texts of one length that share a key and may have enough in common by their bits; some come several times."""
     kind = ordered.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +190,12 @@ def _met_by_key(ordered: DataFrame, least: float) -> DataFrame:
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             key, ids = rows.column("key").to_numpy(), rows.column("id").combine_chunks()
-            for i, j in _near(*_told(rows, least), np.searchsorted(key, key, side="right")):
-                yield pa.record_batch([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.nulls(len(i), pa.int64())], names=["a", "b", "key"])
+            for i, j in _near(*_told(rows, least), rows.column("before").to_numpy(), np.searchsorted(key, key, side="right")):
+                yield pa.record_batch([ids.take(pa.array(i)), ids.take(pa.array(j)), *[pa.nulls(len(i), pa.int64())] * 2], names=["a", "b", "key", "before"])
 
         def members(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            for part in rows.select(["id", "key"]).to_batches():
-                yield pa.record_batch([part.column("id"), part.column("id"), part.column("key")], names=["a", "b", "key"])
+            for part in rows.select(["id", "key", "before"]).to_batches():
+                yield pa.record_batch([part.column("id"), *part.columns], names=["a", "b", "key", "before"])
 
         for batch in batches:
             if not len(batch):
@@ -213,8 +216,8 @@ def _met_by_key(ordered: DataFrame, least: float) -> DataFrame:
             yield from pairs(held)
 
     dealt = _keyed(ordered, "same", least).repartition("key").sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(run, f"a {kind}, b {kind}, key bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key").distinct())
-    return found.where("key IS NULL").select("a", "b").unionByName(_met_by_blocks(found.where("key IS NOT NULL").select(F.col("a").alias("id"), "key"), ordered, least))
+    found = cut(dealt.mapInArrow(run, f"a {kind}, b {kind}, key bigint, before bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "before").distinct())
+    return found.where("key IS NULL").select("a", "b").unionByName(_met_by_blocks(found.where("key IS NOT NULL").select(F.col("a").alias("id"), "key", "before"), ordered, least))
 
 
 def _met_by_blocks(members: DataFrame, ordered: DataFrame, least: float) -> DataFrame:
@@ -225,14 +228,14 @@ def _met_by_blocks(members: DataFrame, ordered: DataFrame, least: float) -> Data
         _, low, high = (k.as_py() for k in key)
         rows = rows.take(pa.array(np.argsort(rows.column("block").to_numpy(), kind="stable")))
         left = int((rows.column("block").to_numpy() == low).sum())
-        (need, bits), ids = _told(rows, least), rows.column("id").combine_chunks()
+        (need, bits), before, ids = _told(rows, least), rows.column("before").to_numpy(), rows.column("id").combine_chunks()
         found = []
         per = max(1, AT_ONCE // max(1, len(need)))
         for k in range(0, left, per):
             i = np.arange(k, min(k + per, left))
             j = np.arange(left if low < high else k, len(need))
             may = _common((w[i][:, None], w[j]) for w in bits) >= np.maximum(need[i][:, None], need[j])
-            may &= i[:, None] < j
+            may &= (i[:, None] < j) & ((before[i][:, None] != before[j]) | (before[j] < 0))
             x, y = np.nonzero(may)
             found.append((i[x], j[y]))
         i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
@@ -248,13 +251,14 @@ def _met_by_blocks(members: DataFrame, ordered: DataFrame, least: float) -> Data
 
 
 def _met_across(ordered: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of different lengths that share a key and may have enough in common by their bits, perhaps several times."""
+    """(a, b): texts of different lengths that share a key and may have enough in common by their bits; some come several times."""
     longest = ordered.agg(F.max("size")).first()[0] or 0  # one number
     lower = cut(_keyed(ordered.where(F.col("size") < longest), "lower", least))
-    side = lambda rows, s: rows.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(w).alias(f"{s}_{w}") for w in _BITS], "key")
+    side = lambda rows, s: rows.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(w).alias(f"{s}_{w}") for w in _BITS], "key", F.col("before").alias(f"{s}_before"))
     lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}_{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{w}")))) for w in _BITS), F.lit(0))
     need = F.ceil(F.lit(least / 2) * (F.col("a_size") + F.col("b_size")) - 1e-9)
-    held = (F.col("a_size") < F.col("b_size")) & (F.col("a_size") - lacks("a", "b") >= need) & (F.col("b_size") - lacks("b", "a") >= need)
+    first = (F.col("a_before") != F.col("b_before")) | (F.col("a_before") < 0)
+    held = first & (F.col("a_size") < F.col("b_size")) & (F.col("a_size") - lacks("a", "b") >= need) & (F.col("b_size") - lacks("b", "a") >= need)
     few = side(lower, "a").hint("broadcast" if lower.count() <= SENT else "merge")
     return side(_keyed(ordered, "upper", least), "b").join(few, "key").where(held).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -123,3 +123,16 @@ def test_first_sentence_of_many(spark):
     r = random.Random(1)
     for (a, x), (b, y) in (sorted(r.sample(rows, 2)) for _ in range(3000)):
         assert ((a, b) in got) == (SequenceMatcher(None, x, y).ratio() >= 0.6)
+
+
+def test_near_copies_meet_once(spark):
+    """Two near copies share most of their keys, and are given on where these begin and not at each."""
+    r = random.Random(3)
+    rows = list(enumerate(dict.fromkeys("".join(HANGUL[: k % 20 + 5]) + r.choice(HANGUL) + "".join(HANGUL[k % 20 + 6 : 30]) for k in range(300))))
+    frame = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    ordered = characters.cut(characters._ordered(frame, "t"))
+    keyed = characters._keyed(ordered, "same", 0.6)
+    shared = keyed.alias("x").join(keyed.alias("y"), "key").where("x.id < y.id")
+    assert shared.count() > 20 * len(rows) * (len(rows) - 1) / 2
+    assert shared.where("x.before <> y.before OR x.before < 0").count() < shared.count() / 2
+    assert {tuple(p) for p in characters.alike(frame, "t", 0.6).collect()} == {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if SequenceMatcher(None, x, y).ratio() >= 0.6}
